@@ -207,12 +207,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(lambda it: _pairs(it, percent), "a long, b long")
 
 
-def _far(a: str, b: str) -> Column:
-    """A lower bound of the symmetric difference, from 256 bits of each set."""
-    apart = F.bit_count(F.col(f"{a}_b0").bitwiseXOR(F.col(f"{b}_b0")))
-    for k in range(1, 4):
-        apart = apart + F.bit_count(F.col(f"{a}_b{k}").bitwiseXOR(F.col(f"{b}_b{k}")))
-    return apart
+def _near(percent: int) -> Column:
+    """Whether the sizes and 256-bit summaries of sets x and y leave a link possible: the bits in which these differ are no more than the members in which the sets do."""
+    apart = F.lit(0)
+    for k in range(4):
+        apart = apart + F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}")))
+    need_ = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent) - 1e-9)
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (apart <= F.col("x_n") + F.col("y_n") - 2 * need_)
 
 
 def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -235,47 +236,58 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of a partition's documents
         for batch, texts in _texts(batches, 1):
-            token, sig = [], []
-            for s in shingles(texts, n):
+            token, sig, fact = [], [], []
+            for row, s in zip(batch.column(0).to_pylist(), shingles(texts, n)):
                 if len(s) and (name := signature(s)) not in seen:
                     seen.add(name)
-                    rare = ordered(s, classes.value)[-(len(s) + percent * len(s) // -100 + 1) :]
+                    keys = ordered(s, classes.value)
+                    rare = keys[-(len(s) + percent * len(s) // -100 + 1) :]
                     token.append(rare)
                     sig.append(np.full(len(rare), name, np.int64))
+                    bits = np.packbits(np.bincount((keys & _U(255)).astype(np.int64), minlength=256) > 0).view(np.int64)
+                    fact.append((name, row, len(s), float(255 - (keys >> _U(56)).mean()), *bits.tolist()))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sig))], ["token", "sig"])
-
-    posted = common.keep(docs.mapInArrow(posts, "token long, sig long"), "posts")
-    met = posted.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
-    members = common.keep(posted.join(met, "token").distinct(), "members")
-    asked = members.select("sig").distinct()
-    heads = common.keep(own.where("n > 0").join(asked, "sig").groupBy("sig").agg(F.min("row").alias("row")), "heads")
-    touched = docs.where(common.may_hold(common.bitmap(heads, "row"), "row")).join(heads, "row").select("sig", "text")
+                m = sum(map(len, sig))
+                none = pa.nulls(m)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sig)), *(none.cast(t) for t in kinds)], names)
+                sig_, *rest = zip(*fact)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(fact), pa.int64()), pa.array(sig_, pa.int64()), *(pa.array(v, t) for v, t in zip(rest, kinds))], names)
+
+    names, kinds = ["token", "sig", "row", "n", "core", "b0", "b1", "b2", "b3"], [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
+    posted = common.keep(docs.mapInArrow(posts, "token long, sig long, row long, n long, core double, b0 long, b1 long, b2 long, b3 long"), "posts")
+    tokens = posted.where("token is not null").select("token", "sig")
+    met = tokens.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
+    members = common.keep(tokens.join(met, "token").distinct(), "members")
+    facts = posted.where("token is null").drop("token").groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "core", "b0", "b1", "b2", "b3")])
+    facts = common.keep(facts.join(members.select("sig").distinct(), "sig"), "facts")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches, 1):
-            made = [ordered(s, classes.value) for s in shingles(texts, n)]
-            bits = [np.packbits(np.bincount((k & _U(255)).astype(np.int64), minlength=256) > 0).view(np.int64) for k in made]
-            core = [float(255 - (k >> _U(56)).mean()) for k in made]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(k) for k in made], pa.int64()), pa.array(core, pa.float64()), *(pa.array([b[j] for b in bits], pa.int64()) for j in range(4)), pa.array([k.astype(">u8").tobytes() for k in made], pa.binary())],
-                ["sig", "n", "core", "b0", "b1", "b2", "b3", "keys"],
-            )
-
-    sets = common.keep(touched.mapInArrow(build, "sig long, n long, core double, b0 long, b1 long, b2 long, b3 long, keys binary"), "sets")
-    facts = sets.drop("keys")
-    hubs = members.join(facts, "sig").groupBy("token").agg(F.max(F.struct("core", "sig", "n")).alias("hub"))
-    near = members.join(hubs, "token").join(facts.select("sig", "n"), "sig").where("sig <> hub.sig").where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
-    links = common.keep(_verified(common.keep(near.select(F.col("hub.sig").alias("probe"), "sig").distinct(), "hub-pairs"), sets, percent), "links")
+            made = [ordered(s, classes.value).astype(">u8").tobytes() for s in shingles(texts, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["sig", "keys"])
+
+    def links_among(pairs: DataFrame, tag: str) -> DataFrame:
+        pairs = common.keep(pairs.distinct(), tag)
+        heads = common.keep(pairs.select(F.explode(F.array("probe", "sig")).alias("sig")).distinct().join(facts.select("sig", "row"), "sig"), "heads")
+        touched = docs.where(common.may_hold(common.bitmap(heads, "row"), "row")).join(heads, "row").select("sig", "text")
+        sets = common.keep(touched.mapInArrow(build, "sig long, keys binary"), "sets")
+        return common.keep(_verified(pairs, sets, percent), "links")
+
+    named = members.join(facts.drop("row"), "sig")
+    hubs = named.groupBy("token").agg(F.max(F.struct("core", "sig")).alias("hub")).select("token", "hub.core", F.col("hub.sig").alias("y_sig"))
+    sides = lambda c, df: df.select(*[F.col(k).alias(f"{c}_{k}") if k != "token" else F.col(k) for k in df.columns])
+    hub_pairs = members.join(hubs, "token").where("sig <> y_sig").select(F.col("sig").alias("x_sig"), "y_sig", "core").distinct()
+    bare = facts.drop("row", "core")
+    hub_pairs = hub_pairs.join(sides("x", bare), "x_sig").join(sides("y", bare), "y_sig").where(_near(percent))
+    best = hub_pairs.groupBy("x_sig").agg(F.max(F.struct("core", "y_sig")).alias("hub"))
+    links = links_among(best.select(F.col("hub.y_sig").alias("probe"), F.col("x_sig").alias("sig")), "hub-pairs")
     roots = common.keep(common.components(links), "roots")
-    placed = members.join(facts, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")).drop("core")
+    placed = members.join(bare, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     split = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     open_ = common.keep(placed.join(split, "token"), "open")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in open_.columns if c != "token"]) for s in ("x", "y"))
-    bound = F.col("x_n") + F.col("y_n") - 2 * F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent) - 1e-9)
-    rest = x.join(y, (x.token == y.token) & (F.col("x_sig") < F.col("y_sig")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (_far("x", "y") <= bound))
-    rest = common.keep(rest.select(F.col("x_sig").alias("probe"), F.col("y_sig").alias("sig")).distinct(), "open-pairs")
-    links = common.keep(links.union(_verified(rest, sets, percent)), "all-links")
+    x, y = sides("x", open_).withColumnRenamed("token", "x_token"), sides("y", open_).withColumnRenamed("token", "y_token")
+    rest = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_sig") < F.col("y_sig")) & (F.col("x_root") != F.col("y_root")) & _near(percent))
+    links = links.union(links_among(rest.select(F.col("x_sig").alias("probe"), F.col("y_sig").alias("sig")), "open-pairs"))
     roots = common.components(links).withColumnRenamed("node", "sig")
     ids = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"))
     return common.keep(ids.join(own, "row").join(roots, "sig", "left").select("row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("class")), "classes")
