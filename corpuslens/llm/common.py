@@ -48,9 +48,13 @@ def literal_array(values, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
+def shift_left(value: Column, n: int | Column) -> Column:
+    return F.call_function("shiftleft", value, n.cast("int") if isinstance(n, Column) else F.lit(n))
+
+
 def one_bit(n: Column) -> Column:
     """A long with bit n set, 0 <= n < 64."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    return shift_left(F.lit(1).cast("long"), n)
 
 
 #: Bits of a membership bitmap. It is of fixed size: with more keys it only lets more rows pass.
