@@ -197,14 +197,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs(probe, sig). A probe's partners are dealt to blocks of about TRIE sets, each with a copy of the probe."""
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(probe, block, kind, sig): the partners of each of pairs(probe, sig) dealt to blocks of about TRIE sets, each with the probe's own row."""
     sized = pairs.groupBy("probe").agg(F.ceil(F.count("*") / F.lit(TRIE)).cast("int").alias("blocks"))
-    dealt = pairs.join(sized, "probe").select("probe", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), "sig")
-    probes = sized.select("probe", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("probe").alias("sig"))
-    rows = dealt.union(probes).join(sets.select("sig", "keys"), "sig").select("probe", "block", "kind", "sig", "keys")
-    sorted_rows = rows.repartition("probe", "block").sortWithinPartitions("probe", "block", "kind", "sig")
-    return sorted_rows.mapInArrow(lambda it: _pairs(it, percent), "a long, b long")
+    partners = pairs.join(sized, "probe").select("probe", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), "sig")
+    return partners.union(sized.select("probe", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("probe").alias("sig")))
 
 
 def _near(percent: int) -> Column:
@@ -236,7 +233,7 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of a partition's documents
         for batch, texts in _texts(batches, 1):
-            token, sig, fact = [], [], []
+            token, sig, cores, fact = [], [], [], []
             for row, s in zip(batch.column(0).to_pylist(), shingles(texts, n)):
                 if len(s) and (name := signature(s)) not in seen:
                     seen.add(name)
@@ -244,48 +241,48 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                     rare = keys[-(len(s) + percent * len(s) // -100 + 1) :]
                     token.append(rare)
                     sig.append(np.full(len(rare), name, np.int64))
+                    core = round(2 * float(255 - (keys >> _U(56)).mean()))
+                    cores.append(np.full(len(rare), core, np.int16))
                     bits = np.packbits(np.bincount((keys & _U(255)).astype(np.int64), minlength=256) > 0).view(np.int64)
-                    fact.append((name, row, len(s), float(255 - (keys >> _U(56)).mean()), *bits.tolist()))
+                    fact.append((name, core, row, len(s), *bits.tolist()))
             if token:
-                m = sum(map(len, sig))
-                none = pa.nulls(m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sig)), *(none.cast(t) for t in kinds)], names)
-                sig_, *rest = zip(*fact)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(fact), pa.int64()), pa.array(sig_, pa.int64()), *(pa.array(v, t) for v, t in zip(rest, kinds))], names)
-
-    names, kinds = ["token", "sig", "row", "n", "core", "b0", "b1", "b2", "b3"], [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
-    posted = common.keep(docs.mapInArrow(posts, "token long, sig long, row long, n long, core double, b0 long, b1 long, b2 long, b3 long"), "posts")
-    tokens = posted.where("token is not null").select("token", "sig")
-    met = tokens.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
-    members = common.keep(tokens.join(met, "token").distinct(), "members")
-    facts = posted.where("token is null").drop("token").groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "core", "b0", "b1", "b2", "b3")])
+                none = pa.nulls(sum(map(len, sig)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sig)), pa.array(np.concatenate(cores)), *[none] * 6], names)
+                sig_, core_, *rest = zip(*fact)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(fact), pa.int64()), pa.array(sig_, pa.int64()), pa.array(core_, pa.int16()), *(pa.array(v, pa.int64()) for v in rest)], names)
+
+    names = ["token", "sig", "core", "row", "n", "b0", "b1", "b2", "b3"]
+    posted = common.keep(docs.mapInArrow(posts, "token long, sig long, core short, row long, n long, b0 long, b1 long, b2 long, b3 long"), "posts")
+    # One exchange by token serves the counts and the join with them.
+    tokens = posted.where("token is not null").select("token", "sig", "core").repartition("token")
+    met = tokens.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max_by("sig", "core").alias("hub")).where("low <> high").select("token", "hub")
+    members = common.keep(tokens.join(met, "token").select("token", "sig", "hub"), "members")
+    facts = posted.where("token is null").drop("token", "core").groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")])
     facts = common.keep(facts.join(members.select("sig").distinct(), "sig"), "facts")
+    bare = facts.drop("row")
+    sides = lambda c, df: df.select(*[F.col(k).alias(f"{c}_{k}") for k in df.columns])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches, 1):
+        for batch, texts in _texts(batches, 4):
             made = [ordered(s, classes.value).astype(">u8").tobytes() for s in shingles(texts, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["sig", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(made, pa.binary())], ["probe", "block", "kind", "sig", "keys"])
 
     def links_among(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = common.keep(pairs.distinct(), tag)
-        heads = common.keep(pairs.select(F.explode(F.array("probe", "sig")).alias("sig")).distinct().join(facts.select("sig", "row"), "sig"), "heads")
-        touched = docs.where(common.may_hold(common.bitmap(heads, "row"), "row")).join(heads, "row").select("sig", "text")
-        sets = common.keep(touched.mapInArrow(build, "sig long, keys binary"), "sets")
-        return common.keep(_verified(pairs, sets, percent), "links")
-
-    named = members.join(facts.drop("row"), "sig")
-    hubs = named.groupBy("token").agg(F.max(F.struct("core", "sig")).alias("hub")).select("token", "hub.core", F.col("hub.sig").alias("y_sig"))
-    sides = lambda c, df: df.select(*[F.col(k).alias(f"{c}_{k}") if k != "token" else F.col(k) for k in df.columns])
-    hub_pairs = members.join(hubs, "token").where("sig <> y_sig").select(F.col("sig").alias("x_sig"), "y_sig", "core").distinct()
-    bare = facts.drop("row", "core")
+        asked = common.keep(_dealt(common.keep(pairs.distinct(), tag)).join(facts.select("sig", "row"), "sig"), "asked")
+        touched = docs.where(common.may_hold(common.bitmap(asked, "row"), "row")).join(asked, "row").select("probe", "block", "kind", "sig", "text")
+        rows = touched.mapInArrow(build, "probe long, block int, kind int, sig long, keys binary")
+        rows = rows.repartition("probe", "block").sortWithinPartitions("probe", "block", "kind", "sig")
+        return common.keep(rows.mapInArrow(lambda it: _pairs(it, percent), "a long, b long"), "links")
+
+    hub_pairs = members.where("sig <> hub").select(F.col("sig").alias("x_sig"), F.col("hub").alias("y_sig")).groupBy("x_sig", "y_sig").agg(F.count("*").alias("met"))
     hub_pairs = hub_pairs.join(sides("x", bare), "x_sig").join(sides("y", bare), "y_sig").where(_near(percent))
-    best = hub_pairs.groupBy("x_sig").agg(F.max(F.struct("core", "y_sig")).alias("hub"))
-    links = links_among(best.select(F.col("hub.y_sig").alias("probe"), F.col("x_sig").alias("sig")), "hub-pairs")
+    best = hub_pairs.groupBy("x_sig").agg(F.max_by("y_sig", "met").alias("y_sig"))
+    links = links_among(best.select(F.col("y_sig").alias("probe"), F.col("x_sig").alias("sig")), "hub-pairs")
     roots = common.keep(common.components(links), "roots")
-    placed = members.join(bare, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    placed = members.select("token", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")).repartition("token")
     split = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_ = common.keep(placed.join(split, "token"), "open")
-    x, y = sides("x", open_).withColumnRenamed("token", "x_token"), sides("y", open_).withColumnRenamed("token", "y_token")
+    open_ = common.keep(placed.join(split, "token").distinct().join(bare, "sig"), "open")
+    x, y = sides("x", open_), sides("y", open_)
     rest = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_sig") < F.col("y_sig")) & (F.col("x_root") != F.col("y_root")) & _near(percent))
     links = links.union(links_among(rest.select(F.col("x_sig").alias("probe"), F.col("y_sig").alias("sig")), "open-pairs"))
     roots = common.components(links).withColumnRenamed("node", "sig")
