@@ -205,9 +205,9 @@ def _dealt(pairs: DataFrame) -> DataFrame:
 
 
 def _near(percent: int) -> Column:
-    """Whether the sizes and 256-bit summaries of sets x and y leave a link possible: the bits in which these differ are no more than the members in which the sets do."""
+    """Whether the sizes and 512-bit summaries of sets x and y leave a link possible: each member flips one bit, so these differ in no more bits than the sets do in members."""
     apart = F.lit(0)
-    for k in range(4):
+    for k in range(8):
         apart = apart + F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}")))
     need_ = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent) - 1e-9)
     return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (apart <= F.col("x_n") + F.col("y_n") - 2 * need_)
@@ -243,21 +243,21 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                     sig.append(np.full(len(rare), name, np.int64))
                     core = round(2 * float(255 - (keys >> _U(56)).mean()))
                     cores.append(np.full(len(rare), core, np.int16))
-                    bits = np.packbits(np.bincount((keys & _U(255)).astype(np.int64), minlength=256) > 0).view(np.int64)
+                    bits = np.packbits(np.bincount((keys & _U(511)).astype(np.int64), minlength=512) & 1).view(np.int64)
                     fact.append((name, core, row, len(s), *bits.tolist()))
             if token:
                 none = pa.nulls(sum(map(len, sig)), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sig)), pa.array(np.concatenate(cores)), *[none] * 6], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sig)), pa.array(np.concatenate(cores)), *[none] * 10], names)
                 sig_, core_, *rest = zip(*fact)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(fact), pa.int64()), pa.array(sig_, pa.int64()), pa.array(core_, pa.int16()), *(pa.array(v, pa.int64()) for v in rest)], names)
 
-    names = ["token", "sig", "core", "row", "n", "b0", "b1", "b2", "b3"]
-    posted = common.keep(docs.mapInArrow(posts, "token long, sig long, core short, row long, n long, b0 long, b1 long, b2 long, b3 long"), "posts")
+    names = ["token", "sig", "core", "row", "n", *(f"b{k}" for k in range(8))]
+    posted = common.keep(docs.mapInArrow(posts, "token long, sig long, core short, row long, n long, " + ", ".join(f"b{k} long" for k in range(8))), "posts")
     # One exchange by token serves the counts and the join with them.
     tokens = posted.where("token is not null").select("token", "sig", "core").repartition("token")
     met = tokens.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max_by("sig", "core").alias("hub")).where("low <> high").select("token", "hub")
     members = common.keep(tokens.join(met, "token").select("token", "sig", "hub"), "members")
-    facts = posted.where("token is null").drop("token", "core").groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")])
+    facts = posted.where("token is null").drop("token", "core").groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *(f"b{k}" for k in range(8)))])
     facts = common.keep(facts.join(members.select("sig").distinct(), "sig"), "facts")
     bare = facts.drop("row")
     sides = lambda c, df: df.select(*[F.col(k).alias(f"{c}_{k}") for k in df.columns])
