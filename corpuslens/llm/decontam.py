@@ -304,7 +304,7 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without contaminated rows; from other rows with hits the hit words are cut. Null and empty texts stay. All columns pass through."""
+    """docs without contaminated rows; from other rows with hits the hit words are cut. Null and empty texts stay. All columns pass through. docs must be read alike twice (a table is)."""
     found = judged(find(docs, items, id_col, text_col, with_text=True)).where("n_hit > 0").select(F.col("row").alias("__row"), "contaminated", F.col("left").alias("__left"))
     found = common.keep(found, "hits")
     rows = docs.withColumn("__row", F.monotonically_increasing_id())

@@ -218,7 +218,8 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     Two rows link when 100 * intersection >= percent * union of their n-word shingle sets. Null and empty
     texts have no shingles and link with nothing; shorter texts have one. Equal sets are one class. No rows: no
-    rows. Extra columns are not looked at.
+    rows. Extra columns are not looked at. Rows are told apart by their place in df, which must be read alike
+    each time (a table is).
 
     Two sets link only if they share one of the rarest |x| - ceil(percent |x|) + 1 shingles of each. Sets
     that meet there are first held against the meeting's hub, the set of the most frequent shingles (so a

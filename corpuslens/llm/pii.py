@@ -83,6 +83,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     the texts in which it stands near the entity, against the documents that hold it and those that hold
     the entity; the entity's own information content is the measure. Copies of one text count once near an
     entity. Null and empty texts: no spans. Equal rows give equal results; no rows give none.
+    Rows are told apart by their place in df, which must be read alike each time (a table is).
     """
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     may = F.contains("text", F.lit("@"))
