@@ -263,17 +263,19 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     bare = facts.drop("row")
     sides = lambda c, df: df.select(*[F.col(k).alias(f"{c}_{k}") for k in df.columns])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches, 4):
-            made = [ordered(s, classes.value).astype(">u8").tobytes() for s in shingles(texts, n)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(made, pa.binary())], ["probe", "block", "kind", "sig", "keys"])
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keyed() -> Iterator[pa.RecordBatch]:
+            for batch, texts in _texts(batches, 4):
+                made = [ordered(s, classes.value).astype(">u8").tobytes() for s in shingles(texts, n)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(made, pa.binary())], ["probe", "block", "kind", "sig", "keys"])
+
+        return _pairs(keyed(), percent)
 
     def links_among(pairs: DataFrame, tag: str) -> DataFrame:
         asked = common.keep(_dealt(common.keep(pairs.distinct(), tag)).join(facts.select("sig", "row"), "sig"), "asked")
         touched = docs.where(common.may_hold(common.bitmap(asked, "row"), "row")).join(asked, "row").select("probe", "block", "kind", "sig", "text")
-        rows = touched.mapInArrow(build, "probe long, block int, kind int, sig long, keys binary")
-        rows = rows.repartition("probe", "block").sortWithinPartitions("probe", "block", "kind", "sig")
-        return common.keep(rows.mapInArrow(lambda it: _pairs(it, percent), "a long, b long"), "links")
+        rows = touched.repartition("probe", "block").sortWithinPartitions("probe", "block", "kind", "sig")
+        return common.keep(rows.mapInArrow(joined, "a long, b long"), "links")
 
     hub_pairs = members.where("sig <> hub").select(F.col("sig").alias("x_sig"), F.col("hub").alias("y_sig")).groupBy("x_sig", "y_sig").agg(F.count("*").alias("met"))
     hub_pairs = hub_pairs.join(sides("x", bare), "x_sig").join(sides("y", bare), "y_sig").where(_near(percent))
