@@ -26,19 +26,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts the lineage, and a lost executor costs a read only."""
-    path = f"{shared_dir(df.sparkSession)}/corpuslens/{tag}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: it cuts the lineage, and a lost executor costs a read only.
+
+    Then nothing asks for the shuffles that made it: a collection on the driver lets Spark's cleaner delete
+    their files now, not at its next half hour.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpuslens/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _kept.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that keep() returned. Call it once all that was made from it is kept."""
+    _kept.remove(df.kept_path)
+    _delete(df.sparkSession, df.kept_path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes what keep() wrote so far. Call it once the results made from those tables are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _kept:
-        path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _kept.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def literal_array(values, kind: str) -> Column:

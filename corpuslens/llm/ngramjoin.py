@@ -257,9 +257,10 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     # One exchange by token serves the counts and the join with them.
     tokens = posted.where("token is not null").select("token", "sig", "core").repartition("token")
     met = tokens.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max_by("sig", "core").alias("hub")).where("low <> high").select("token", "hub")
-    members = common.keep(tokens.join(met, "token").select("token", "sig", "hub"), "members")
+    members = common.keep(tokens.join(met, "token").select("token", "sig", "hub", "core"), "members")  # core: so that both read the same exchange
     facts = posted.where("token is null").drop("token", "core").groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *(f"b{k}" for k in range(8)))])
     facts = common.keep(facts.join(members.select("sig").distinct(), "sig"), "facts")
+    common.discard(posted)
     bare = facts.drop("row")
     sides = lambda c, df: df.select(*[F.col(k).alias(f"{c}_{k}") for k in df.columns])
 
@@ -272,10 +273,14 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         return _pairs(keyed(), percent)
 
     def links_among(pairs: DataFrame, tag: str) -> DataFrame:
-        asked = common.keep(_dealt(common.keep(pairs.distinct(), tag)).join(facts.select("sig", "row"), "sig"), "asked")
+        chosen = common.keep(pairs.distinct(), tag)
+        asked = common.keep(_dealt(chosen).join(facts.select("sig", "row"), "sig"), "asked")
+        common.discard(chosen)
         touched = docs.where(common.may_hold(common.bitmap(asked, "row"), "row")).join(asked, "row").select("probe", "block", "kind", "sig", "text")
         rows = touched.repartition("probe", "block").sortWithinPartitions("probe", "block", "kind", "sig")
-        return common.keep(rows.mapInArrow(joined, "a long, b long"), "links")
+        found = common.keep(rows.mapInArrow(joined, "a long, b long"), "links")
+        common.discard(asked)
+        return found
 
     hub_pairs = members.where("sig <> hub").select(F.col("sig").alias("x_sig"), F.col("hub").alias("y_sig")).groupBy("x_sig", "y_sig").agg(F.count("*").alias("met"))
     hub_pairs = hub_pairs.join(sides("x", bare), "x_sig").join(sides("y", bare), "y_sig").where(_near(percent))
@@ -285,6 +290,7 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     placed = members.select("token", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")).repartition("token")
     split = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     open_ = common.keep(placed.join(split, "token").distinct().join(bare, "sig"), "open")
+    common.discard(members)
     x, y = sides("x", open_), sides("y", open_)
     rest = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_sig") < F.col("y_sig")) & (F.col("x_root") != F.col("y_root")) & _near(percent))
     links = links.union(links_among(rest.select(F.col("x_sig").alias("probe"), F.col("y_sig").alias("sig")), "open-pairs"))
