@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import chunking, graph, resolution, retrieval
+from corpuslens.operators import chunking, graph, resolution, retrieval, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -352,3 +352,30 @@ def stream_ingest(spark, d):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, date_trunc('hour', ts) AS hour FROM events GROUP BY event_type, date_trunc('hour', ts)")
 def mention_timeline(spark, d):
     return _t(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') ORDER BY lower(p_name) = 're' DESC, length(p_name), p_name, p_partkey LIMIT 1")
+def entity_lookup(spark, d):
+    return structure.lookup(_t(spark, d, "part").select("p_partkey", "p_name"), "RE", "p_partkey", "p_name")
+
+
+@query("SELECT DISTINCT p_name FROM part WHERE contains(lower(p_name), 're') ORDER BY p_name LIMIT 20")
+def entity_suggest(spark, d):
+    return structure.suggest(_t(spark, d, "part").select("p_name").distinct(), "RE", "p_name")
+
+
+@query("""WITH h AS (SELECT conv_id, turn, 1 + turn % 3 AS depth FROM conversations)
+SELECT conv_id, turn, depth, coalesce((SELECT max(b.turn) FROM h b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.depth < a.depth), -1) AS parent FROM h a""")
+def heading_parents(spark, d):
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", (1 + F.col("turn") % 3).alias("depth"))
+    return turns.withColumn("parent", F.coalesce(structure.heading_parent("conv_id", "turn", "depth"), F.lit(-1)))
+
+
+@query("SELECT event_id AS doc_id, unnest(json_keys(props)) AS key, json_extract(props, '$.k')::VARCHAR AS value FROM events")
+def object_keys(spark, d):
+    return structure.object_keys(_t(spark, d, "events"), "event_id", "props")
+
+
+@query()
+def code_definitions(spark, d):
+    return structure.definitions(_t(spark, d, "documents"))
