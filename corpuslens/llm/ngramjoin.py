@@ -213,6 +213,16 @@ def _near(percent: int) -> Column:
     return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (apart <= F.col("x_n") + F.col("y_n") - 2 * need_)
 
 
+def _near_wide(percent: int) -> Column:
+    """The same by summaries as wide as the sets are large; sets without one pass. Of two widths the wider is folded: its halves' bits flip each other."""
+    half = lambda w: F.expr(f"size({w}) div 2")
+    folded = lambda w: F.zip_with(F.slice(w, F.lit(1), half(w)), F.slice(w, half(w) + 1, half(w)), lambda a, b: a.bitwiseXOR(b))
+    x, y = (F.when(F.size(a) > F.size(b), folded(a)).otherwise(F.col(a)) for a, b in (("x_wide", "y_wide"), ("y_wide", "x_wide")))
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, k: a + k)
+    need_ = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent) - 1e-9)
+    return F.col("x_wide").isNull() | F.col("y_wide").isNull() | (apart <= F.col("x_n") + F.col("y_n") - 2 * need_)
+
+
 def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """row, doc_id, n, class of every row: rows that links lead between are of one class; rows without shingles have none.
 
@@ -245,23 +255,26 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                     core = round(2 * float(255 - (keys >> _U(56)).mean()))
                     cores.append(np.full(len(rare), core, np.int16))
                     bits = np.packbits(np.bincount((keys & _U(511)).astype(np.int64), minlength=512) & 1).view(np.int64)
-                    fact.append((name, core, row, len(s), *bits.tolist()))
+                    wide = 1 << (len(s) - 1).bit_length()
+                    wide = np.packbits(np.bincount((keys & _U(wide - 1)).astype(np.int64), minlength=wide) & 1).view(np.int64) if wide > 512 else None
+                    fact.append((name, core, row, len(s), *bits.tolist(), wide))
             if token:
                 none = pa.nulls(sum(map(len, sig)), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sig)), pa.array(np.concatenate(cores)), *[none] * 10], names)
-                sig_, core_, *rest = zip(*fact)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(fact), pa.int64()), pa.array(sig_, pa.int64()), pa.array(core_, pa.int16()), *(pa.array(v, pa.int64()) for v in rest)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sig)), pa.array(np.concatenate(cores)), *[none] * 10, pa.nulls(len(none), pa.list_(pa.int64()))], names)
+                sig_, core_, *rest, wides = zip(*fact)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(fact), pa.int64()), pa.array(sig_, pa.int64()), pa.array(core_, pa.int16()), *(pa.array(v, pa.int64()) for v in rest), pa.array(wides, pa.list_(pa.int64()))], names)
 
-    names = ["token", "sig", "core", "row", "n", *(f"b{k}" for k in range(8))]
-    posted = common.keep(docs.mapInArrow(posts, "token long, sig long, core short, row long, n long, " + ", ".join(f"b{k} long" for k in range(8))), "posts")
+    names = ["token", "sig", "core", "row", "n", *(f"b{k}" for k in range(8)), "wide"]
+    posted = common.keep(docs.mapInArrow(posts, "token long, sig long, core short, row long, n long, " + ", ".join(f"b{k} long" for k in range(8)) + ", wide array<long>"), "posts")
     # One exchange by token serves the counts and the join with them.
     tokens = posted.where("token is not null").select("token", "sig", "core").repartition("token")
     met = tokens.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max_by("sig", "core").alias("hub")).where("low <> high").select("token", "hub")
     members = common.keep(tokens.join(met, "token").select("token", "sig", "hub", "core"), "members")  # core: so that both read the same exchange
     facts = posted.where("token is null").drop("token", "core").groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *(f"b{k}" for k in range(8)))])
-    facts = common.keep(facts.join(members.select("sig").distinct(), "sig"), "facts")
+    wide = posted.where("wide is not null").select("row", "wide")
+    facts = common.keep(facts.join(members.select("sig").distinct(), "sig").join(wide, "row", "left"), "facts")
     common.discard(posted)
-    bare = facts.drop("row")
+    bare = facts.drop("row", "wide")
     sides = lambda c, df: df.select(*[F.col(k).alias(f"{c}_{k}") for k in df.columns])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +285,15 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
         return _pairs(keyed(), percent)
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs(x_sig, y_sig, ...) whose wide summaries leave a link possible: no text is moved for the others."""
+        sized = facts.select("sig", "n", "wide")
+        near = pairs.join(sides("x", sized), "x_sig").join(sides("y", sized), "y_sig").where(_near_wide(percent))
+        return near.select(*pairs.columns)
+
     def links_among(pairs: DataFrame, tag: str) -> DataFrame:
-        chosen = common.keep(pairs.distinct(), tag)
+        """Links among distinct pairs(probe, sig)."""
+        chosen = common.keep(pairs, tag)
         asked = common.keep(_dealt(chosen).join(facts.select("sig", "row"), "sig"), "asked")
         common.discard(chosen)
         touched = docs.where(common.may_hold(common.bitmap(asked, "row"), "row")).join(asked, "row").select("probe", "block", "kind", "sig", "text")
@@ -284,7 +304,7 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     hub_pairs = members.where("sig <> hub").select(F.col("sig").alias("x_sig"), F.col("hub").alias("y_sig")).groupBy("x_sig", "y_sig").agg(F.count("*").alias("met"))
     hub_pairs = hub_pairs.join(sides("x", bare), "x_sig").join(sides("y", bare), "y_sig").where(_near(percent))
-    best = hub_pairs.groupBy("x_sig").agg(F.max_by("y_sig", "met").alias("y_sig"))
+    best = likely(hub_pairs.select("x_sig", "y_sig", "met")).groupBy("x_sig").agg(F.max_by("y_sig", "met").alias("y_sig"))
     links = links_among(best.select(F.col("y_sig").alias("probe"), F.col("x_sig").alias("sig")), "hub-pairs")
     roots = common.keep(common.components(links), "roots")
     placed = members.select("token", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")).repartition("token")
@@ -293,6 +313,7 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     common.discard(members)
     x, y = sides("x", open_), sides("y", open_)
     rest = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_sig") < F.col("y_sig")) & (F.col("x_root") != F.col("y_root")) & _near(percent))
+    rest = likely(rest.select("x_sig", "y_sig").distinct())
     links = links.union(links_among(rest.select(F.col("x_sig").alias("probe"), F.col("y_sig").alias("sig")), "open-pairs"))
     roots = common.components(links).withColumnRenamed("node", "sig")
     ids = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"))

@@ -192,8 +192,31 @@ def test_gradient():
         m.p[k][at] += 1e-6
 
 
+def test_ngram_join_of_long_texts(spark):
+    """Sets on both sides of widths of summaries, with similarities around the threshold."""
+    rng = random.Random(11)
+    texts = []
+    for size in (530, 1020, 1060, 2100):
+        words = [f"w{rng.randrange(400)}" for _ in range(size)]
+        for edits in (0, 0, *[size // 55 + k for k in range(-4, 5, 2)]):
+            own = words[: size - rng.randrange(20)]
+            for k in rng.sample(range(len(own)), edits):
+                own[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    df = common.keep(spark.createDataFrame([(k, t, "en", 0, 0, "s") for k, t in enumerate(texts)], SCHEMA).repartition(3), "long")
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    assert len(set(brute_links(rows)[1])) not in (4, len(rows))  # some link, some don't
+    agrees(spark, df, rows)
+
+
 def test_ngram_join(spark, corpus):
     df, rows = corpus
+    agrees(spark, df, rows)
+    assert ngramjoin.linked(empty(spark)).count() == 0
+
+
+def brute_links(rows):
+    """(sets of shingles, component) of each row."""
     sets = []
     for _, t in rows:
         w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
@@ -204,6 +227,11 @@ def test_ngram_join(spark, corpus):
             if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 old, new = root[a], root[b]
                 root = [new if r == old else r for r in root]
+    return sets, root
+
+
+def agrees(spark, df, rows):
+    sets, root = brute_links(rows)
     least = {}
     for k, r in enumerate(root):
         if rows[k][0] is not None:
@@ -212,7 +240,6 @@ def test_ngram_join(spark, corpus):
     assert Counter(tuple(r) for r in ngramjoin.linked(df).collect()) == want
     one = ngramjoin.one_of_each(df)
     assert one.columns == df.columns and one.count() == len(set(root))
-    assert ngramjoin.linked(empty(spark)).count() == 0
 
 
 def test_trie_join():
