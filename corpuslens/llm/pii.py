@@ -22,8 +22,6 @@ _MAY = {"ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}
 
 #: Characters of context on either side of an entity.
 CONTEXT = 120
-#: A term must stand near an entity in so many different texts before it can give it away.
-SUPPORT = 3
 #: Shares of the entity's information content that a term may disclose: beyond the first it is generalised, beyond the second removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -81,8 +79,9 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     base: the patterns' valid matches. extra: terms (kind generalise or remove) near an entity that they
     disclose. How much a term tells of an entity is their pointwise mutual information over the corpus:
     the texts in which it stands near the entity, against the documents that hold it and those that hold
-    the entity; the entity's own information content is the measure. Copies of one text count once near an
-    entity. Null and empty texts: no spans. Equal rows give equal results; no rows give none.
+    the entity; the entity's own information content is the measure. There is no least number of texts: of an entity
+    that one text holds, the terms that few documents have are its mark. Copies of one text count once near
+    an entity. Null and empty texts: no spans. Equal rows give equal results; no rows give none.
     Rows are told apart by their place in df, which must be read alike each time (a table is).
     """
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -108,7 +107,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         )).alias("t"),
     ).select("row", "h", "entity", F.lower("t.word").alias("term"), "t.start", "t.end")
     near = common.keep(near, "pii-near")
-    both = near.select("h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    both = near.select("h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     both = common.keep(both, "pii-both")
     of_entity = base.select("h", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).withColumn("th", F.xxhash64("term"))

@@ -287,6 +287,22 @@ def test_terms_that_disclose_are_generalised(spark):
     assert "zorblax" not in pii.sanitise(df).where("doc_id = 0").first().text and "[EMAIL]" in pii.sanitise(df).where("doc_id = 0").first().text
 
 
+def told(spark, texts, doc_id=0):
+    """The disclosing terms that spans() finds in one of the texts."""
+    df = spark.createDataFrame([(k, t, "", 0, 0, "") for k, t in enumerate(texts)], SCHEMA).coalesce(2)
+    r = pii.digest(pii.spans(df)).where(f"doc_id = {doc_id}").first()
+    return {texts[doc_id][int(a) : int(b)] for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind in ("generalise", "remove")}
+
+
+PLAIN = [f"plain words filed about {w} today by mail" for w in "abcdefghijklmnopqrstuvwxyz" * 8]
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_entities_of_one_or_two_texts_are_covered(spark, copies):
+    found = told(spark, [f"{w} filed by zorblax about mail bob@corp.example today" for w in ("one", "two")[:copies]] + PLAIN)
+    assert "zorblax" in found and not found & {"filed", "today", "about", "mail"}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 100)], "a long, b long")
     found = {r.node: r.root for r in common.components(links).collect()}
