@@ -62,24 +62,38 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, _CUT), lambda s: F.trim(F.regexp_replace(F.lower(s), _OTHER, " "))), lambda s: s != "")
 
 
+#: What every known sentence holds one of; other texts need no look.
+_MAY = r"(?i)licens|permission|redistribution|unencumbered"
+#: A piece that only numbers an item of a list.
+_ITEM = r"^(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})$"
+
+
+def _known() -> list[tuple[str, str]]:
+    """(identifier, pattern) over pieces joined by |, longest first: a known sentence takes whole pieces and may run across the ends of pieces."""
+    return [(k, r"(?<=\|)" + v.replace(" ", "[ |]") + r"(?=\|)") for k, v in sorted(SENTENCES.items(), key=lambda x: (-len(x[1]), x[0]))]
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids and licenses (both comma-joined, in text order) of every row.
 
-    Rules take adjacent sentences only. Null or empty text: no sentences and empty strings. Any text
-    length is one row's array; equal rows give equal results; no rows give none.
+    A known sentence may hold stops (as before an SPDX identifier) and then takes several of the text's.
+    Rules take adjacent known sentences only; list numbers between them don't count. Null or empty text: no
+    sentences and empty strings. Any text length is one row's array; equal rows give equal results; no rows give none.
     """
-    known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    rows = df.select(F.col(id_col).alias("doc_id"), sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("all"))
-    rows = rows.select("doc_id", F.size("all").cast("long").alias("n_sentences"), F.transform("all", lambda s: F.coalesce(F.try_element_at(known, s), F.lit("-"))).alias("ids"))
-    line = F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    line = F.concat(F.lit("|"), F.concat_ws("|", F.filter(sentences(text), lambda s: ~s.rlike(_ITEM))), F.lit("|"))
+    for k, pattern in _known():
+        line = F.regexp_replace(line, pattern, f"<{k}>")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.size(sentences(text)).cast("long").alias("n_sentences"), F.when(text.rlike(_MAY), line).otherwise("").alias("line"))
+    found = F.regexp_extract_all("line", F.lit("<([^>]+)>"), F.lit(1))
+    line = F.col("line")
     for name, ids in RULES:
-        line = F.replace(line, F.lit("".join(f"<{i}>" for i in ids)), F.lit(f"{{{name}}}"))
-    found = F.filter("ids", lambda i: i != "-")
+        line = F.replace(line, F.lit("|".join(f"<{i}>" for i in ids)), F.lit(f"{{{name}}}"))
     return rows.select("doc_id", "n_sentences", F.size(found).cast("long").alias("n_known"), F.concat_ws(",", found).alias("sentence_ids"), F.concat_ws(",", F.regexp_extract_all(line, F.lit(r"\{([^}]+)\}"), F.lit(1))).alias("licenses"))
 
 
 def oracle() -> str:
-    """The same in DuckDB."""
+    """The same in DuckDB, for known sentences that hold no stop of their own and follow one another without list numbers."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quoted(v)}: {quoted(k)}" for k, v in SENTENCES.items()) + "}"
     line = "array_to_string(list_transform(ids, lambda i: '<' || i || '>'), '')"

@@ -69,6 +69,31 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def licensed(spark, texts):
+    df = spark.createDataFrame([(k, t, "", 0, 0, "") for k, t in enumerate(texts)], SCHEMA)
+    return licenses.scan(df).orderBy("doc_id").collect()
+
+
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+BSD = [
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+]
+
+
+def test_licenses_in_canonical_form(spark):
+    texts = ["SPDX-License-Identifier: MIT", "x\nSPDX-License-Identifier: Apache-2.0\n", "SPDX-License-Identifier: GPL-3.0-or-later", GPL, "\n\n".join(BSD)]
+    found = licensed(spark, texts)
+    assert [r.licenses for r in found] == ["mit", "apache-2.0", "gpl-3.0", "gpl-3.0", "bsd-2-clause"]
+    assert [r.sentence_ids for r in found] == ["s18", "s19", "s20", "s15", "s12,s13,s14"]
+
+
+def test_every_license_sentence_and_rule_is_found(spark):
+    assert [r.sentence_ids for r in licensed(spark, [f"{v}." for v in licenses.SENTENCES.values()])] == [*licenses.SENTENCES]
+    assert [r.licenses for r in licensed(spark, [". ".join(licenses.SENTENCES[i] for i in ids) + "." for _, ids in licenses.RULES])] == [name for name, _ in licenses.RULES]
+
+
 def test_line_dedup(spark, corpus):
     df, rows = corpus
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
