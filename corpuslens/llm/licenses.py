@@ -64,8 +64,16 @@ def sentences(text: Column) -> Column:
 
 #: What every known sentence holds one of; other texts need no look.
 _MAY = r"(?i)licens|permission|redistribution|unencumbered"
-#: A piece that only numbers an item of a list.
+#: A piece that only numbers an item of a list, and what else may number one at the start of a line, after comment marks.
 _ITEM = r"^(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})$"
+_LINE = r"(?m)^[^\p{L}\p{N}\r\n]*(?:(?i:rem|dnl)[ \t]+)?(?:(?:[0-9]{1,2}|[A-Za-z]|[ivx]{1,4})[.)][ \t]+)?"
+
+
+def _pieces(text: Column) -> Column:
+    """What stops and line breaks part, normalised as sentences are; comment marks, list numbers and what holds no letter or digit are left out."""
+    bare = F.regexp_replace(text, _LINE, "")
+    parts = F.split(F.regexp_replace(bare, _STOP, f"$1{_CUT}"), f"[{_CUT}\r\n]+")
+    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), _OTHER, " "))), lambda s: (s != "") & ~s.rlike(_ITEM))
 
 
 def _known() -> list[tuple[str, str]]:
@@ -76,12 +84,12 @@ def _known() -> list[tuple[str, str]]:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids and licenses (both comma-joined, in text order) of every row.
 
-    A known sentence may hold stops (as before an SPDX identifier) and then takes several of the text's.
-    Rules take adjacent known sentences only; list numbers between them don't count. Null or empty text: no
+    A known sentence begins and ends where a stop, a line break or the text does, and may run across others
+    inside. n_sentences counts what sentences() gives, however many lines of one are known. Rules take adjacent known sentences only; list numbers between them don't count. Null or empty text: no
     sentences and empty strings. Any text length is one row's array; equal rows give equal results; no rows give none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    line = F.concat(F.lit("|"), F.concat_ws("|", F.filter(sentences(text), lambda s: ~s.rlike(_ITEM))), F.lit("|"))
+    line = F.concat(F.lit("|"), F.concat_ws("|", _pieces(text)), F.lit("|"))
     for k, pattern in _known():
         line = F.regexp_replace(line, pattern, f"<{k}>")
     rows = df.select(F.col(id_col).alias("doc_id"), F.size(sentences(text)).cast("long").alias("n_sentences"), F.when(text.rlike(_MAY), line).otherwise("").alias("line"))
@@ -93,7 +101,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def oracle() -> str:
-    """The same in DuckDB, for known sentences that hold no stop of their own and follow one another without list numbers."""
+    """The same in DuckDB, for known sentences that are one of the text's own sentences each, without comment marks or list numbers."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quoted(v)}: {quoted(k)}" for k, v in SENTENCES.items()) + "}"
     line = "array_to_string(list_transform(ids, lambda i: '<' || i || '>'), '')"

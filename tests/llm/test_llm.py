@@ -89,6 +89,29 @@ def test_licenses_in_canonical_form(spark):
     assert [r.sentence_ids for r in found] == ["s18", "s19", "s20", "s15", "s12,s13,s14"]
 
 
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_licenses_in_comments_and_lines_without_a_stop(spark):
+    marked = ["\n".join(f"{m} {line}".rstrip() for line in APACHE.split("\n")) for m in ("#", "//", " *", "--", "")]
+    found = licensed(spark, [*marked, "/*\n" + marked[2] + "\n */\nint x;"])
+    assert {(r.sentence_ids, r.licenses) for r in found} == {("s05,s06,s07,s08,s09", "apache-2.0,apache-2.0")}
+    texts = ["Released under the MIT License\nmore prose here.", "Some prose\n# Released under the MIT License\r\nx = 1", "# " + GPL.replace("\n", "\n# "), "(a) " + BSD[0] + "\n" + BSD[1].replace("1.", "(1)") + "\n" + BSD[2].replace("2.", "b)"), "It was not released under the MIT License at all."]
+    assert [r.licenses for r in licensed(spark, texts)] == ["mit", "mit", "gpl-3.0", "bsd-2-clause", ""]
+
+
 def test_every_license_sentence_and_rule_is_found(spark):
     assert [r.sentence_ids for r in licensed(spark, [f"{v}." for v in licenses.SENTENCES.values()])] == [*licenses.SENTENCES]
     assert [r.licenses for r in licensed(spark, [". ".join(licenses.SENTENCES[i] for i in ids) + "." for _, ids in licenses.RULES])] == [name for name, _ in licenses.RULES]
