@@ -18,7 +18,7 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("open_ids")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

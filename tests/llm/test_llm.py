@@ -112,6 +112,33 @@ def test_licenses_in_comments_and_lines_without_a_stop(spark):
     assert [r.licenses for r in licensed(spark, texts)] == ["mit", "mit", "gpl-3.0", "bsd-2-clause", ""]
 
 
+GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License\nas published by the Free Software Foundation; either\nversion {2} of the License, or (at your option) any later version."
+ENDORSE = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+COMMON = [
+    ("\n\n".join([*BSD, ENDORSE]), "bsd-3-clause"),
+    ("\n".join(b.replace("1.", "*").replace("2.", "*") for b in [*BSD, ENDORSE.replace("3.", "*")]), "bsd-3-clause"),
+    ("\n".join([*BSD, "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\nThis product includes software developed by the organization.", ENDORSE.replace("3.", "4.")]), "bsd-4-clause"),
+    (GNU.format("program", "", "2"), "gpl-2.0"), (GNU.format("library", "Lesser ", "2.1"), "lgpl-2.1"), (GNU.format("library", "Library ", "2"), "lgpl-2.0"), (GNU.format("program", "Lesser ", "3"), "lgpl-3.0"),
+    (GPL.replace("GNU General", "GNU Affero General"), "agpl-3.0"), (GPL.replace("This program", "Foo Bar"), "gpl-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n", "gpl-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.", "0bsd"),
+    ("// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)", "bsl-1.0"),
+    ("All rights reserved. This program and the accompanying materials\nare made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this distribution, and is available at\nhttp://www.eclipse.org/legal/epl-v10.html", "epl-1.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"),
+    ("Licensed under CC BY-NC-ND 3.0", "cc-by-nc-nd-3.0"), ("This work is licensed under the Creative Commons Attribution-NonCommercial 2.5 Generic License.", "cc-by-nc-2.5"),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "cc0-1.0"),
+    ("1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software.", "zlib"),
+    ("/* SPDX-License-Identifier: LGPL-2.1-only */", "lgpl-2.1"), ("# SPDX-License-Identifier: MIT OR Apache-2.0\nx = 1", "mit,apache-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "gpl-2.0,classpath-exception-2.0"),
+]
+
+
+def test_common_licenses_are_known(spark):
+    assert [r.licenses for r in licensed(spark, [t for t, _ in COMMON])] == [name for _, name in COMMON]
+    assert [(r.open_ids, r.licenses) for r in licensed(spark, ["See here.\n" + ENDORSE, BSD[0], "\n".join(BSD)])] == [("no-endorsement", ""), ("s12", ""), ("", "bsd-2-clause")]
+
+
 def test_every_license_sentence_and_rule_is_found(spark):
     assert [r.sentence_ids for r in licensed(spark, [f"{v}." for v in licenses.SENTENCES.values()])] == [*licenses.SENTENCES]
     assert [r.licenses for r in licensed(spark, [". ".join(licenses.SENTENCES[i] for i in ids) + "." for _, ids in licenses.RULES])] == [name for name, _ in licenses.RULES]
