@@ -73,15 +73,22 @@ def _terms(near: Column, first: Column) -> Column:
     return F.slice(F.filter(found, lambda t: t["word"] != ""), 1, CONTEXT)
 
 
+def _one_of_each_text(docs: DataFrame) -> tuple[DataFrame, int]:
+    """text, once for all its exact copies, and the number of such texts. Only texts that may have copies are moved."""
+    docs = docs.select(F.xxhash64("text").alias("h"), "text")
+    texts = common.keep(docs.groupBy("h").agg(F.count("*").alias("copies")), "pii-hashes")
+    has_copies = common.may_hold(common.bitmap(texts.where("copies > 1"), "h"), "h")
+    return docs.where(~has_copies).union(docs.where(has_copies).dropDuplicates(["h"])).select("text"), texts.count()
+
+
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, base and extra (arrays of struct<kind, start, end>, code points, end exclusive) of every row.
 
     base: the patterns' valid matches. extra: terms (kind generalise or remove) near an entity that they
     disclose. How much a term tells of an entity is their pointwise mutual information over the corpus:
-    the texts in which it stands near the entity, against the documents that hold it and those that hold
-    the entity; the entity's own information content is the measure. There is no least number of texts: of an entity
-    that one text holds, the terms that few documents have are its mark. Copies of one text count once near
-    an entity. Null and empty texts: no spans. Equal rows give equal results; no rows give none.
+    the texts in which it stands near the entity, against those that hold it and those that hold the entity; the entity's own information content is the measure. There is no least number of texts: of an entity
+    that one text holds, the terms that few texts have are its mark. Copies of one text count once, in every one of these
+    numbers. Null and empty texts: no spans. Equal rows give equal results; no rows give none.
     Rows are told apart by their place in df, which must be read alike each time (a table is).
     """
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -110,13 +117,13 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     both = near.select("h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     both = common.keep(both, "pii-both")
     of_entity = base.select("h", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).withColumn("th", F.xxhash64("term"))
+    once, total = _one_of_each_text(docs)
+    words = once.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).withColumn("th", F.xxhash64("term"))
     asked = common.bitmap(both.select(F.xxhash64("term").alias("th")), "th")
     of_term = words.where(common.may_hold(asked, "th")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
     told = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     whole = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    # An entity that every document holds has no information content to protect.
+    # An entity that every text holds has no information content to protect.
     judged = both.join(of_entity, "entity").join(of_term, "term").where((whole > 0) & (told >= whole * GENERALISE)).select("entity", "term", F.when(told >= whole * REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"))
     extra = near.join(judged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
     every = base.select("row", "kind", "start", "end").union(extra.select("row", "kind", "start", "end"))

@@ -378,6 +378,12 @@ def test_entities_of_one_or_two_texts_are_covered(spark, copies):
     assert "zorblax" in found and not found & {"filed", "today", "about", "mail"}
 
 
+def test_copies_do_not_hide_disclosing_terms(spark):
+    texts = [f"{w} filed by zorblax about mail bob@corp.example today" for w in ("one", "two", "six")]
+    found = told(spark, texts * 20 + PLAIN)
+    assert "zorblax" in found and found == told(spark, texts + sorted(set(PLAIN)))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 100)], "a long, b long")
     found = {r.node: r.root for r in common.components(links).collect()}
