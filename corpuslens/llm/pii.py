@@ -20,8 +20,10 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Texts that may hold a kind: one of these is part of every valid match.
 _MAY = {"ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9][ ().0-9-]"}
 
-#: Characters of context on either side of an entity.
-CONTEXT = 120
+#: A term: a run of letters (with their marks) and digits.
+TERM, GAP = r"[\p{L}\p{M}\p{N}]+", r"[^\p{L}\p{M}\p{N}]+"
+#: Terms whose places in a text are summed up together; any number gives the same places.
+_BLOCK = 64
 #: Shares of the entity's information content that a term may disclose: beyond the first it is generalised, beyond the second removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -63,14 +65,58 @@ def _valid() -> Column:
     return F.when(F.col("kind") == 0, True).when(F.col("kind") == 1, small).when(F.col("kind") == 2, n.between(16, 19) & (F.when(n.between(16, 19), luhn).otherwise(1) % 10 == 0)).otherwise(n.between(8, 15))
 
 
-def _terms(near: Column, first: Column) -> Column:
-    """The words of a stretch of context that begins at `first`: letters only, three at least, parted by white space and stripped of stops. Words cut off or glued to the match are left out."""
-    bits = F.split(near, r"\s", -1)
-    last = F.size(bits) - 1
-    at = lambda i: F.aggregate(F.slice(bits, F.lit(1), i), F.lit(0), lambda a, b: a + F.length(b) + 1)
-    word = lambda i: F.regexp_extract(F.get(bits, i), r"^(\p{L}{3,})[.,;:!?]?$", 1)
-    found = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(word(i).alias("word"), (first + at(i)).cast("long").alias("start"), (first + at(i) + F.length(word(i))).cast("long").alias("end")))
-    return F.slice(F.filter(found, lambda t: t["word"] != ""), 1, CONTEXT)
+def _terms(texts: DataFrame) -> DataFrame:
+    """row, h, term, start, end: every term of texts(row, h, text). Places come from sums within blocks of terms, so that no row's work grows with the square of its length."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    upto = lambda xs, i: total(F.slice(xs, F.lit(1), i))
+    n = F.size("words")
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK)))
+    found = texts.select("row", "h", F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)).alias("words"), F.split("text", TERM, -1).alias("gaps")).where(n > 0)
+    found = found.select("row", "h", F.arrays_zip(cut(F.col("words")).alias("words"), cut(F.slice("gaps", F.lit(1), n)).alias("gaps")).alias("b"))
+    found = found.withColumn("sums", F.transform("b", lambda x: F.aggregate(F.concat(x["words"], x["gaps"]), F.lit(0), lambda a, w: a + F.length(w))))
+    found = found.select("row", "h", "sums", F.posexplode("b").alias("k", "b"))
+    found = found.select("row", "h", upto(F.col("sums"), F.col("k")).cast("long").alias("at"), "b.words", F.transform("b.gaps", F.length).alias("g"), F.transform("b.words", F.length).alias("w"))
+    found = found.select("row", "h", F.explode(F.transform("words", lambda x, i: F.struct(F.lower(x).alias("term"), (F.col("at") + upto(F.col("g"), i + 1) + upto(F.col("w"), i)).alias("start"), F.get("w", i).alias("n")))).alias("t"))
+    return found.select("row", "h", "t.term", "t.start", (F.col("t.start") + F.col("t.n")).alias("end"))
+
+
+def _outside(marked: DataFrame, base: DataFrame) -> DataFrame:
+    """The rows of marked(row, start, end, kind) that share no place with a base match of their row."""
+    rows = base.select("row", "start", "end", F.lit(-1).alias("kind")).union(marked.select("row", "start", "end", "kind"))
+    place = lambda c: F.when(F.col("kind") < 0, F.col(c))
+    by = Window.partitionBy("row")
+    # The furthest end of matches that begin no later, and the next match that begins later.
+    rows = rows.withColumn("reach", F.max(place("end")).over(by.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.min(place("start")).over(by.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("kind >= 0 and coalesce(reach <= start, true) and coalesce(next >= end, true)").select("row", "kind", "start", "end")
+
+
+def _judged(base: DataFrame, terms: DataFrame, once: DataFrame, total: int) -> DataFrame:
+    """h, term, kind: the terms of each text that disclose an entity it holds, of terms(h, term) and the corpus's texts.
+
+    Entities that the same texts hold get the same scores and go as one. A term can only disclose an entity
+    if no more texts have it than its threshold allows when all that hold the entity have it; others are not counted.
+    """
+    entity = F.concat_ws(":", F.col("kind"), F.lower("match"))
+    of_entity = base.select("h", entity.alias("entity")).distinct()
+    signs = [F.sum(F.xxhash64("h", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
+    held = of_entity.groupBy("entity").agg(F.count("*").alias("n_entity"), F.concat_ws(":", *[s.cast("string") for s in signs]).alias("held_by"))
+    held = common.keep(of_entity.join(held, "entity").select("h", "held_by", "n_entity").distinct(), "pii-held")
+    asked = common.bitmap(terms.select(F.xxhash64("term").alias("th")), "th")
+    words = once.select(F.explode(F.array_distinct(F.transform(F.split("text", GAP), F.lower))).alias("term")).withColumn("th", F.xxhash64("term"))
+    of_term = words.where((F.col("term") != "") & common.may_hold(asked, "th")).groupBy("term").agg(F.count("*").alias("n_term"))
+    whole = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
+    told = lambda n_both: F.log(n_both * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    # An entity that every text holds has no information content to protect.
+    may = told(F.least("n_term", "n_entity")) >= whole * GENERALISE
+    most = held.where(whole > 0).agg(F.max("n_entity")).first()[0] or 1
+    rare = common.keep(of_term.withColumn("n_entity", F.lit(most)).where(may | (F.col("n_term") <= most)).drop("n_entity"), "pii-rare")
+    some = common.bitmap(rare.select(F.xxhash64("term").alias("th")), "th")
+    terms = terms.withColumn("th", F.xxhash64("term")).where(common.may_hold(some, "th")).drop("th")
+    pairs = common.keep(terms.join(rare, "term").join(held.where(whole > 0), "h").where(may), "pii-pairs")
+    scores = pairs.groupBy("held_by", "n_entity", "term", "n_term").agg(F.count("*").alias("n_both")).withColumn("told", told(F.col("n_both"))).where(F.col("told") >= whole * GENERALISE)
+    scores = scores.select("held_by", "term", F.when(F.col("told") >= whole * REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"))
+    return pairs.join(scores, ["held_by", "term"]).groupBy("h", "term").agg(F.max("kind").alias("kind"))
 
 
 def _one_of_each_text(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -84,11 +130,12 @@ def _one_of_each_text(docs: DataFrame) -> tuple[DataFrame, int]:
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, base and extra (arrays of struct<kind, start, end>, code points, end exclusive) of every row.
 
-    base: the patterns' valid matches. extra: terms (kind generalise or remove) near an entity that they
-    disclose. How much a term tells of an entity is their pointwise mutual information over the corpus:
-    the texts in which it stands near the entity, against those that hold it and those that hold the entity; the entity's own information content is the measure. There is no least number of texts: of an entity
-    that one text holds, the terms that few texts have are its mark. Copies of one text count once, in every one of these
-    numbers. Null and empty texts: no spans. Equal rows give equal results; no rows give none.
+    base: the patterns' valid matches. extra: terms (kind generalise or remove) of a text with an entity that
+    they disclose, at every place outside base matches. How much a term tells of an entity is their pointwise
+    mutual information over the corpus: the texts that hold both, against those that have the term and those
+    that hold the entity; the entity's own information content is the measure. There is no least number of
+    texts: of an entity that one text holds, the terms that few texts have are its mark. Copies of one text
+    count once, in every one of these numbers. Null and empty texts: no spans. Equal rows give equal results; no rows give none.
     Rows are told apart by their place in df, which must be read alike each time (a table is).
     """
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -97,36 +144,13 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         may = may | F.col("text").rlike(pattern)
     hits = common.keep(docs.where(may).select("row", F.xxhash64("text").alias("h"), "text"), "pii-texts")
     base = common.keep(_matches(hits).where(_valid()), "pii-base")
-    before = F.substring("gap", F.greatest(F.length("gap") - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT))
-    # From the first white space of a context that is cut off, up to the last one before the match.
-    inner = F.when(F.length("gap") > CONTEXT, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
-    inner = F.regexp_replace(inner, r"\S+$", "")
-    lead = F.when(F.length("gap") > CONTEXT, F.length(before) - F.length(F.regexp_replace(before, r"^\S+", ""))).otherwise(0)
-    after = F.substring("after", 1, CONTEXT)
-    tail = F.when(F.length("after") > CONTEXT, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    glued = F.length(tail) - F.length(F.regexp_replace(tail, r"^\S+", ""))
-    entity = F.concat(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.lit(":"), F.lower("match"))
-    near = base.select(
-        "row", "h", entity.alias("entity"),
-        F.explode(F.concat(
-            _terms(inner, F.col("start") - F.length(before) + lead),
-            _terms(F.regexp_replace(tail, r"^\S+", ""), F.col("end") + glued),
-        )).alias("t"),
-    ).select("row", "h", "entity", F.lower("t.word").alias("term"), "t.start", "t.end")
-    near = common.keep(near, "pii-near")
-    both = near.select("h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = common.keep(both, "pii-both")
-    of_entity = base.select("h", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    holders = base.select("row").distinct()
+    terms = _terms(hits.join(holders, "row", "left_semi"))
     once, total = _one_of_each_text(docs)
-    words = once.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).withColumn("th", F.xxhash64("term"))
-    asked = common.bitmap(both.select(F.xxhash64("term").alias("th")), "th")
-    of_term = words.where(common.may_hold(asked, "th")).groupBy("term").agg(F.count("*").alias("n_term"))
-    told = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    whole = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    # An entity that every text holds has no information content to protect.
-    judged = both.join(of_entity, "entity").join(of_term, "term").where((whole > 0) & (told >= whole * GENERALISE)).select("entity", "term", F.when(told >= whole * REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"))
-    extra = near.join(judged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
-    every = base.select("row", "kind", "start", "end").union(extra.select("row", "kind", "start", "end"))
+    judged = common.keep(_judged(base, common.keep(terms.select("h", "term").distinct(), "pii-terms"), once, total), "pii-judged")
+    told = common.bitmap(judged.select(F.xxhash64("h", "term").alias("ht")), "ht")
+    marked = terms.withColumn("ht", F.xxhash64("h", "term")).where(common.may_hold(told, "ht")).join(judged, ["h", "term"])
+    every = base.select("row", "kind", "start", "end").union(_outside(marked, base))
     by_row = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("s"))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
     rows = docs.select("row", "doc_id").join(by_row, "row", "left").withColumn("s", F.coalesce("s", none))

@@ -384,6 +384,15 @@ def test_copies_do_not_hide_disclosing_terms(spark):
     assert "zorblax" in found and found == told(spark, texts + sorted(set(PLAIN)))
 
 
+def test_disclosing_terms_are_marked_in_the_whole_text(spark):
+    text = "A \"zorblax\" unit.\n" + "plain words filed about today by mail " * 40 + "bob@corp.example " + "today by mail " * 2000 + "(Zorblax-7x9) é zorblax, bob\tzorblax"
+    df = spark.createDataFrame([(k, t, "", 0, 0, "") for k, t in enumerate([text, *PLAIN])], SCHEMA)
+    r = pii.spans(df).where("doc_id = 0").first()
+    want = [(m.start(), m.end()) for m in re.finditer(r"\w+", text) if m.group().lower() in ("zorblax", "unit", "7x9", "é", "bob") and not 0 <= m.start() - text.index("bob@") < 16]
+    assert sorted((x.start, x.end) for x in r.extra) == want
+    assert "zorblax" not in pii.sanitise(df).where("doc_id = 0").first().text.lower()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 100)], "a long, b long")
     found = {r.node: r.root for r in common.components(links).collect()}
