@@ -30,15 +30,22 @@ def resolve(entities: DataFrame) -> DataFrame:
     """alias_id, canonical_id of entities(id, name, entity_type).
 
     In the order of length (longest first), then name, then id, each name not taken yet takes all later ones
-    that match it. Candidates meet on a shared word, so a name that stands inside another one only as a
-    part of a word is not found. Rounds settle the order: a name none of whose earlier matches can still
+    that match it. Candidates meet on a shared word, or (names that another one may take in as a part of its
+    words) where the longer one holds the rarest four characters of the shorter. Rounds settle the order: a name none of whose earlier matches can still
     stay is kept; one whose earliest match not taken is kept is taken.
     """
     spark = entities.sparkSession
     rows = entities.select("id", "entity_type", _plain(F.col("name")).alias("name"), F.struct(-F.length("name"), "name", "id").alias("at")).where("name <> ''")
+    match = _matches(F.col("entity_type"), F.col("x_name"), F.col("y_name"))
+    named = lambda df, s: df.select("entity_type", "word", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "at")])
     words = rows.select("id", "entity_type", "name", "at", F.explode(F.array_distinct(F.split("name", r"\s+"))).alias("word"))
-    x, y = (words.select("entity_type", "word", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "at")]) for s in ("x", "y"))
-    pairs = x.join(y, ["entity_type", "word"]).where("x_at < y_at").where(_matches(F.col("entity_type"), F.col("x_name"), F.col("y_name")))
+    parts = F.transform(F.sequence(F.lit(1), F.length("name") - 3), lambda i: F.substring("name", i, F.lit(4)))
+    grams = rows.where("length(name) >= 4").select("id", "entity_type", "name", "at", F.explode(F.array_distinct(parts)).alias("word"))
+    inner = grams.where("entity_type in ('organization', 'location') or (entity_type = 'person' and name rlike '\\\\s')")
+    seen = grams.groupBy("entity_type", "word").agg(F.count("*").alias("n"))
+    rarest = inner.join(seen, ["entity_type", "word"]).groupBy("id", "entity_type", "name", "at").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    on = ["entity_type", "word"]
+    pairs = named(words, "x").join(named(words, "y"), on).union(named(grams, "x").join(named(rarest, "y"), on)).where("x_at < y_at").where(match)
     pairs = pairs.select(F.col("x_id").alias("canonical"), F.col("y_id").alias("alias"), F.col("x_at").alias("at")).distinct().persist()
     state = spark.createDataFrame([], "alias long, canonical_id long")
     nodes = pairs.select(F.col("alias").alias("id")).union(pairs.select("canonical")).distinct().persist()

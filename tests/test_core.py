@@ -92,6 +92,12 @@ def test_resolution_is_greedy_and_idempotent(spark):
     assert 7 not in found and len(found) == 4
 
 
+def test_resolution_finds_names_inside_words(spark):
+    names = [(1, "Yorkshire", "location"), (2, "York", "location"), (3, "東京都新宿区", "location"), (4, "京都新宿", "location"), (5, "Yor", "location"), (6, "Rosemary Anne", "person"), (7, "mary anne", "person"), (8, "mary", "person")]
+    found = {r.alias_id: r.canonical_id for r in resolution.resolve(spark.createDataFrame(names, "id long, name string, entity_type string")).collect()}
+    assert found == {2: 1, 4: 3, 7: 6}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("# Hi")
     (tmp_path / "t.tsv").write_text("x\ty\n1\t2\n3\n")
