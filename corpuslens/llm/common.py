@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders written by keep(), by session; release() deletes them.
-_kept: list[str] = []
+#: The lists of scratch() that are open; without one, what keep() writes stays until the shared folder goes.
+_kept: list[list[str]] = []
+#: Has Spark delete a query's shuffle files as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,25 +21,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where it is unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (where it is unset and Spark runs on this machine alone, as in tests) one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="corpuslens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """A list that takes the folders keep() writes meanwhile; release() deletes them."""
+    own: list[str] = []
+    before, _kept[:] = _kept[:], [own]
+    try:
+        yield own
+    finally:
+        _kept[:] = before
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read again: it cuts the lineage, and a lost executor costs a read only.
 
-    Then nothing asks for the shuffles that made it: a collection on the driver lets Spark's cleaner delete
-    their files now, not at its next half hour.
+    The shuffles that made it are of no more use: Spark deletes their files when the table is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuslens/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _kept.append(path)
-    spark._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    for own in _kept:
+        own.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
     return out
@@ -43,26 +64,45 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes a table that keep() returned. Call it once all that was made from it is kept."""
-    _kept.remove(df.kept_path)
-    _delete(df.sparkSession, df.kept_path)
+    delete(df.sparkSession, df.kept_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what keep() wrote so far. Call it once the results made from those tables are written."""
-    while _kept:
-        _delete(spark, _kept.pop())
+def release(spark: SparkSession, own: list[str]) -> None:
+    """Deletes the folders of a scratch() list. Call it once the results made from them are written."""
+    while own:
+        delete(spark, own.pop())
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def literal_array(values, kind: str) -> Column:
-    """A constant array (also nested) as one folded literal."""
-    import json
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a long of its own for every row, the same whenever and however split the table is read.
+
+    It is the row's place in its file, xor a hash of the file's name; places of two files could only meet if
+    their hashes agreed in all bits above those that count a file's rows. What is not read straight from
+    Parquet files is first kept as such.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation" or plan.relation().fileFormat().toString() != "Parquet":
+        df = keep(df, "rows")
+    file = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.xxhash64(file["file_path"]).bitwiseXOR(file["row_index"]))
+
+
+def dense(pairs: DataFrame, size: int, fold: Callable[[str], Column]) -> Column:
+    """A scalar subquery: pairs(k, v) with 0 <= k < size as an array of `size` values, those of equal k folded, 0 where there is none.
 
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
+    It is a table of one row, bounded by size, that passes neither through the driver's program nor through the plan's text.
+    """
+    zeros = pairs.sparkSession.range(size).select(F.col("id").alias("k"), F.lit(0).cast(pairs.schema["v"].dataType).alias("v"))
+    every = pairs.select(F.col("k").cast("long"), "v").union(zeros).groupBy("k").agg(fold("v").alias("v"))
+    one = every.agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("all"))
+    return keep(one.select(F.transform("all", lambda x: x["v"]).alias("dense")), "dense").scalar()
 
 
 def shift_left(value: Column, n: int | Column) -> Column:
@@ -78,24 +118,16 @@ def one_bit(n: Column) -> Column:
 BITMAP_WORDS = 1 << 16
 
 
-def bitmap(keys: DataFrame, key: str) -> list[int]:
-    """A one-hash membership bitmap of a long column: BITMAP_WORDS words at most reach the driver."""
+def bitmap(keys: DataFrame, key: str) -> Column:
+    """A one-hash membership bitmap of a long column: a scalar subquery of BITMAP_WORDS longs."""
     h = F.xxhash64(F.col(key))
-    words = (
-        keys.select(F.pmod(h, F.lit(BITMAP_WORDS)).cast("int").alias("w"), one_bit(F.pmod(F.shiftright(h, 20), F.lit(64))).alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-    )
-    out = [0] * BITMAP_WORDS
-    for r in words.collect():
-        out[r.w] = r.b
-    return out
+    return dense(keys.select(F.pmod(h, F.lit(BITMAP_WORDS)).alias("k"), one_bit(F.pmod(F.shiftright(h, 20), F.lit(64))).alias("v")), BITMAP_WORDS, F.bit_or)
 
 
-def may_hold(words: list[int], key: str) -> Column:
+def may_hold(words: Column, key: str) -> Column:
     """True for each key that the bitmap was made of, and for few others."""
     h = F.xxhash64(F.col(key))
-    word = F.get(literal_array(words, "bigint"), F.pmod(h, F.lit(BITMAP_WORDS)).cast("int"))
+    word = F.get(words, F.pmod(h, F.lit(BITMAP_WORDS)).cast("int"))
     return F.getbit(word, F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")) == 1
 
 

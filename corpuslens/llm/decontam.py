@@ -256,7 +256,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = common.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("row", "id", "text")
     kind = docs.schema["id"].dataType
     schema = f"row long, id {kind.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<long>, left string"
     parts = []
@@ -304,11 +304,11 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without contaminated rows; from other rows with hits the hit words are cut. Null and empty texts stay. All columns pass through. docs must be read alike twice (a table is)."""
-    found = judged(find(docs, items, id_col, text_col, with_text=True)).where("n_hit > 0").select(F.col("row").alias("__row"), "contaminated", F.col("left").alias("__left"))
+    """docs without contaminated rows; from other rows with hits the hit words are cut. Null and empty texts stay. All columns pass through. No rows: no rows."""
+    columns, rows = docs.columns, common.numbered(docs, "__row")
+    found = judged(find(rows.select(*columns), items, id_col, text_col, with_text=True)).where("n_hit > 0").select(F.col("row").alias("__row"), "contaminated", F.col("left").alias("__left"))
     found = common.keep(found, "hits")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
     touched = common.may_hold(common.bitmap(found, "__row"), "__row")
     changed = rows.where(touched).join(found.withColumnRenamed("contaminated", "__bad"), "__row", "left").where("not coalesce(__bad, false)")
     changed = changed.withColumn(text_col, F.coalesce("__left", F.col(text_col)))
-    return rows.where(~touched).select(*docs.columns).unionByName(changed.select(*docs.columns))
+    return rows.where(~touched).select(*columns).unionByName(changed.select(*columns))

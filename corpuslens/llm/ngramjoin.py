@@ -228,15 +228,15 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     Two rows link when 100 * intersection >= percent * union of their n-word shingle sets. Null and empty
     texts have no shingles and link with nothing; shorter texts have one. Equal sets are one class. No rows: no
-    rows. Extra columns are not looked at. Rows are told apart by their place in df, which must be read alike
-    each time (a table is).
+    rows. Extra columns are not looked at. Rows are told apart by their place in their file.
 
     Two sets link only if they share one of the rarest |x| - ceil(percent |x|) + 1 shingles of each. Sets
     that meet there are first held against the meeting's hub, the set of the most frequent shingles (so a
     group of near copies costs in proportion to its size); then sets that meet and are still in different
     components are held against each other, all of them.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    df = common.numbered(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    docs = df.select("row", "text")
     survey = common.keep(docs.mapInArrow(_survey(n), "row long, n long, sig long, part int, counts binary"), "survey")
     own = survey.where("part is null").select("row", "n", "sig")
     classes = docs.sparkSession.sparkContext.broadcast(rarity(survey))  # COUNTERS bytes
@@ -316,7 +316,7 @@ def classes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     rest = likely(rest.select("x_sig", "y_sig").distinct())
     links = links.union(links_among(rest.select(F.col("x_sig").alias("probe"), F.col("y_sig").alias("sig")), "open-pairs"))
     roots = common.components(links).withColumnRenamed("node", "sig")
-    ids = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"))
+    ids = df.select("row", "doc_id")
     return common.keep(ids.join(own, "row").join(roots, "sig", "left").select("row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("class")), "classes")
 
 
@@ -334,9 +334,9 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """df with one row of each class, that of the smallest doc_id (of equal ones the first read); rows without shingles stay. All columns pass through."""
-    rows = classes_of(df, id_col, text_col, n, percent).where("n > 0")
+    columns, every = df.columns, common.numbered(df, "__row")
+    rows = classes_of(every.select(*columns), id_col, text_col, n, percent).where("n > 0")
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     gone = common.keep(rows.join(first, "class").where("row <> first.row").select(F.col("row").alias("__row")), "gone")
-    every = df.withColumn("__row", F.monotonically_increasing_id())
     touched = common.may_hold(common.bitmap(gone, "__row"), "__row")
     return every.where(~touched).union(every.where(touched).join(gone, "__row", "left_anti").select(*every.columns)).drop("__row")

@@ -136,9 +136,9 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     that hold the entity; the entity's own information content is the measure. There is no least number of
     texts: of an entity that one text holds, the terms that few texts have are its mark. Copies of one text
     count once, in every one of these numbers. Null and empty texts: no spans. Equal rows give equal results; no rows give none.
-    Rows are told apart by their place in df, which must be read alike each time (a table is).
+    Rows are told apart by their place in their file.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = common.numbered(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))).select("row", "doc_id", "text")
     may = F.contains("text", F.lit("@"))
     for pattern in _MAY.values():
         may = may | F.col("text").rlike(pattern)
@@ -173,10 +173,11 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """df with every span replaced: base ones by [KIND], generalised terms by [TERM], removed ones by nothing. Of spans that overlap the first one counts."""
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit("[TERM]"), F.lit(""))
     order = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    found = common.keep(spans(df, id_col, text_col).where("size(base) > 0").select(F.col("row").alias("__row"), order.alias("__spans")), "pii-spans")
-    rows = df.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
+    columns, df = df.columns, common.numbered(df, "__row")
+    found = common.keep(spans(df.select(*columns), id_col, text_col).where("size(base) > 0").select(F.col("row").alias("__row"), order.alias("__spans")), "pii-spans")
+    rows = df.join(found, "__row", "left")
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda a, x: F.when(x["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.element_at(labels, x["kind"] + 1)).alias("out"), x["end"].alias("at")))
     done = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(done)).select(*df.columns)
+    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(done)).select(*columns)

@@ -2,51 +2,39 @@
 
 from __future__ import annotations
 
-import math
-import random
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-ROWS_PER_BLOCK = 4096
-MAX_BLOCKS = 1024
+#: Bits of monotonically_increasing_id() that count the rows of a partition.
+_PLACE = 33
+
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many good ones `draws` draws without replacement hold, for any size of population.
 
-def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many good ones `draws` draws without replacement hold; inversion outward from the mode, for any size of population."""
+    Inversion over the masses relative to that of the mode. These come from ratios of neighbours, so no
+    digits are lost to a large population; masses below 1e-17 of the mode's are left out.
+    """
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
         return low
     mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-
-    def choose(n: int, k: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-    p = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    left = rng.random() - p
-    up = down = mode
-    p_up = p_down = p
-    while left > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            left -= p_up
-            if left <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            left -= p_down
-            if left <= 0:
-                return down
-    return mode
+    spread = (draws * (good / (good + bad)) * (bad / (good + bad))) ** 0.5
+    reach = int(10 * spread) + 60
+    k = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    up = np.cumprod((good - k) / (k + 1) * ((draws - k) / (bad - draws + k + 1)))
+    k = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    down = np.cumprod(k / (good - k + 1) * ((bad - draws + k) / (draws - k + 1)))
+    mass = np.concatenate([down[::-1], [1.0], up]).cumsum()
+    return mode - len(down) + int(np.searchsorted(mass, rng.random() * mass[-1], "right"))
 
 
 def matrix(rows: list[int], columns: list[int], seed: int) -> list[list[int]]:
     """A communication matrix with these row and column sums, as a uniform permutation of all rows would give it."""
-    rng, left = random.Random(seed), list(columns)
+    rng, left = np.random.default_rng(seed), list(columns)
     out = []
     for n in rows:
         rest, line = sum(left), []
@@ -68,49 +56,30 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     """Every row of df in one of `shards` shards: doc_id, size, text_crc32, shard, slot.
 
     Shard sizes differ by one row at most and slots run from 0 without gaps; every assignment is equally
-    likely, so equal texts spread like any rows. The rows are dealt to blocks by a hash; exact
-    block-to-cell counts (a cell is a stretch of a shard's slots) are drawn on the driver from the block
-    counts alone (at most MAX_BLOCKS x MAX_BLOCKS numbers); each block is permuted, its rows go to the
-    cells by these counts, and each cell is permuted again.
-    Null text: size 1, crc of the empty text. Equal rows are rows of their own. No rows: no rows.
+    likely, so equal texts spread like any rows. Each input partition is permuted where it is; the exact
+    counts that go from it to each shard are drawn on the driver (one line of `shards` numbers a partition);
+    the rows are exchanged by these counts, in ranges of a new random order within their shard, so that no
+    task holds a shard.
+    Null text: size 1, crc of the empty text. Equal rows are rows of their own. No rows: no rows. Other
+    columns are left out.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = common.keep(
-        df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("row")),
-        "shard-rows",
-    )
-    total = base.count()
-    blocks = min(MAX_BLOCKS, max(1, math.ceil(total / ROWS_PER_BLOCK)))
-    per_shard = min(max(1, MAX_BLOCKS // shards), max(1, math.ceil(total / shards / ROWS_PER_BLOCK)))
-    block = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks)).cast("int")
-    counts = {r.block: r["count"] for r in base.groupBy(block.alias("block")).count().collect()}
-    cells = [even(n, per_shard) for n in even(total, shards)]
-    drawn = matrix([counts.get(b, 0) for b in range(blocks)], [n for cell in cells for n in cell], seed)
-    plan = []
-    for b, line in enumerate(drawn):
-        ends, at = [], 0
-        for k in range(shards):
-            inner = []
-            for x in line[k * per_shard : (k + 1) * per_shard]:
-                at += x
-                inner.append(at)
-            ends.append(inner)
-        plan.append({"block": b, "ends": ends, "last": [e[-1] for e in ends]})
-    starts = [[sum(cell[:c]) for c in range(per_shard)] for cell in cells]
-    import json
-
-    ways = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan, separators=(",", ":"))), "array<struct<block:int,ends:array<array<bigint>>,last:array<bigint>>>")))
-    at = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("row", F.lit(seed + 1)), "row")).cast("long")
-    # MAX_BLOCKS rows of MAX_BLOCKS numbers at most: safe to broadcast at any size of input.
-    dealt = (
-        base.withColumn("block", block)
-        .withColumn("at", at)
-        .join(F.broadcast(ways), "block")
-        .withColumn("shard", F.size(F.filter("last", lambda e: e < F.col("at"))))
-        .withColumn("cell", F.size(F.filter(F.get("ends", F.col("shard")), lambda e: e < F.col("at"))))
-        .select("doc_id", "size", "text_crc32", "row", "shard", "cell")
-    )
-    again = F.row_number().over(Window.partitionBy("shard", "cell").orderBy(F.xxhash64("row", F.lit(seed + 2)), "row"))
-    first = F.get(F.get(common.literal_array(starts, "array<bigint>"), F.col("shard")), F.col("cell"))
-    return dealt.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (first + again - 1).alias("slot"))
+    rows = common.numbered(df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
+    base = common.keep(rows.sortWithinPartitions(F.xxhash64("row", F.lit(seed)), "row").withColumn("place", F.monotonically_increasing_id()), "shard-rows")
+    block, at = F.shiftright("place", _PLACE), F.col("place").bitwiseAND(F.lit((1 << _PLACE) - 1))
+    counts = base.groupBy(block.alias("block")).count().orderBy("block").collect()
+    drawn = matrix([r["count"] for r in counts], even(sum(r["count"] for r in counts), shards), seed)
+    lines = [(r.block, np.cumsum(line).tolist()) for r, line in zip(counts, drawn)]
+    # One row an input partition, of `shards` numbers.
+    ways = spark.createDataFrame(lines, "block long, ends array<long>")
+    dealt = base.withColumn("block", block).join(F.broadcast(ways), "block").withColumn("shard", F.size(F.filter("ends", lambda e: e <= at)))
+    order = ("shard", "again", "row")
+    dealt = dealt.select("doc_id", "size", "text_crc32", "row", "shard", F.xxhash64("row", F.lit(seed + 2)).alias("again"))
+    laid = common.keep(dealt.repartitionByRange(*order).sortWithinPartitions(*order).drop("row", "again").withColumn("place", F.monotonically_increasing_id()), "shard-laid")
+    # A range holds a stretch of each of its shards: its first place there, and the shard's rows before it.
+    here = laid.groupBy("shard", F.shiftright("place", _PLACE).alias("range")).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = here.select("shard", "range", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))  # one row a shard and range
+    out = laid.withColumn("range", F.shiftright("place", _PLACE)).join(F.broadcast(starts), ["shard", "range"])
+    return out.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("place") + F.col("shift")).alias("slot"))

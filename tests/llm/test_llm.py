@@ -412,3 +412,29 @@ def test_pipeline(spark):
         assert 0 < after.count() <= docs.count(), name
         docs = after
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == sorted(map(tuple, docs.collect()))
+
+def test_rows_keep_their_numbers_however_the_table_is_split(spark, corpus):
+    """The same numbers, and so the same results, at any parallelism and size of split."""
+    df, _ = corpus
+    path = df.kept_path
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for size in ("1k", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = common.numbered(spark.read.parquet(path))
+            found.append(sorted((r.row, r.doc_id or -1) for r in rows.select("row", "doc_id").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] and len({r for r, _ in found[0]}) == df.count()
+
+
+def test_scratch_is_released_alone(spark):
+    other = common.keep(spark.range(3), "other")
+    with common.scratch() as own:
+        mine = common.keep(spark.range(4), "mine")
+    assert own == [mine.kept_path]
+    common.release(spark, own)
+    assert other.count() == 3
+    with pytest.raises(Exception):
+        mine.collect()
