@@ -14,10 +14,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .tokencount import bytes_to_chars, slices
+from .tokencount import bytes_to_chars, ranges, slices
 
-# Fixed value: how the vocabulary's tokenizer finds words in lower-case text.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Fixed value: how the vocabulary's tokenizer finds words in lower-case text, of letters L, numbers N and white space S.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^SLN]+"
 # The same where every character is in Latin-1, for the faster of two matchers.
 _LATIN_L, _LATIN_N, _LATIN_S = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN_L}]+|[{_LATIN_N}]|[^{_LATIN_S}{_LATIN_L}{_LATIN_N}]+"
@@ -27,6 +27,26 @@ MOST_WORDS = 150_000
 SLICE = 1 << 22
 
 
+@lru_cache(2)
+def words_pattern(last: int) -> re.Pattern:
+    """WORDS with the code points of letters, numbers and white space up to `last` in place: the shorter classes are much faster."""
+    points = {k: "".join(f"\\U{a:08x}-\\U{min(b, last):08x}" for a, b in ranges(p) if a <= last) for k, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
+    return re.compile(re.sub("[LNS]", lambda m: points[m[0]], WORDS))
+
+
+@lru_cache(1)
+def unassigned() -> re.Pattern:
+    """What Python's Unicode tables don't know yet in the first plane, and all beyond it."""
+    return re.compile("[" + "".join(f"\\u{k:04x}" for k in range(0x10000) if unicodedata.category(chr(k)) == "Cn") + "\U00010000-\U0010ffff]")
+
+
+@lru_cache(1)
+def library_normal():
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 class WordTokenizer(dict):
     """word -> (ids as text, number of ids, decoded text); a word not yet met is encoded by the merges."""
 
@@ -40,7 +60,7 @@ class WordTokenizer(dict):
         self.char = bytes_to_chars()
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.words, self.latin = regex.compile(WORDS), re.compile(LATIN_WORDS)
+        self.latin = re.compile(LATIN_WORDS)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def encode_word(self, word: str) -> list[int]:
@@ -78,6 +98,8 @@ class WordTokenizer(dict):
 
     @staticmethod
     def normal(text: str) -> str:
+        if not text.isascii() and unassigned().search(text):
+            return library_normal().normalize_str(text)  # newer characters may have small letters and compositions
         text = unicodedata.normalize("NFC", text)
         # Character by character: str.lower() alone looks at neighbours for the final sigma.
         return "σ".join(p.lower() for p in text.split("Σ")) if "Σ" in text else text.lower()
@@ -95,7 +117,7 @@ class WordTokenizer(dict):
                     part.encode("latin-1")
                     words = self.latin.findall(part)
                 except UnicodeEncodeError:
-                    words = self.words.findall(part)
+                    words = words_pattern(0xFFFF if max(part) < "\U00010000" else 0x10FFFF).findall(part)
                 found += map(get, words)
         found = [x for x in found if x[1]]
         return sum(x[1] for x in found), " ".join([x[0] for x in found]), " ".join([x[2] for x in found])

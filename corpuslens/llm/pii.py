@@ -9,7 +9,9 @@ from . import common
 
 # The kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: A match begins where a run of its first characters does, or where the match before it ended; what it takes is
+#: never given back, so that neither long runs nor long domains cost more than their length.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: A match always begins where a run of digits does, and takes runs whole.
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Over text whose blanks and hyphens are blotted out unless they stand between digits: there runs of these
@@ -22,8 +24,6 @@ _MAY = {"ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}
 
 #: A term: a run of letters (with their marks) and digits.
 TERM, GAP = r"[\p{L}\p{M}\p{N}]+", r"[^\p{L}\p{M}\p{N}]+"
-#: Terms whose places in a text are summed up together; any number gives the same places.
-_BLOCK = 64
 #: Shares of the entity's information content that a term may disclose: beyond the first it is generalised, beyond the second removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -66,18 +66,13 @@ def _valid() -> Column:
 
 
 def _terms(texts: DataFrame) -> DataFrame:
-    """row, h, term, start, end: every term of texts(row, h, text). Places come from sums within blocks of terms, so that no row's work grows with the square of its length."""
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    upto = lambda xs, i: total(F.slice(xs, F.lit(1), i))
-    n = F.size("words")
-    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK)))
-    found = texts.select("row", "h", F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)).alias("words"), F.split("text", TERM, -1).alias("gaps")).where(n > 0)
-    found = found.select("row", "h", F.arrays_zip(cut(F.col("words")).alias("words"), cut(F.slice("gaps", F.lit(1), n)).alias("gaps")).alias("b"))
-    found = found.withColumn("sums", F.transform("b", lambda x: F.aggregate(F.concat(x["words"], x["gaps"]), F.lit(0), lambda a, w: a + F.length(w))))
-    found = found.select("row", "h", "sums", F.posexplode("b").alias("k", "b"))
-    found = found.select("row", "h", upto(F.col("sums"), F.col("k")).cast("long").alias("at"), "b.words", F.transform("b.gaps", F.length).alias("g"), F.transform("b.words", F.length).alias("w"))
-    found = found.select("row", "h", F.explode(F.transform("words", lambda x, i: F.struct(F.lower(x).alias("term"), (F.col("at") + upto(F.col("g"), i + 1) + upto(F.col("w"), i)).alias("start"), F.get("w", i).alias("n")))).alias("t"))
-    return found.select("row", "h", "t.term", "t.start", (F.col("t.start") + F.col("t.n")).alias("end"))
+    """row, h, term, start, end: every term of texts(row, h, text). Places are running sums of lengths, so that a text's work grows in proportion to its length."""
+    words = F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1))
+    found = texts.select("row", "h", words.alias("words"), F.split("text", TERM, -1).alias("gaps"))
+    found = found.select("row", "h", F.posexplode(F.arrays_zip("words", F.transform("gaps", F.length).alias("gap"))).alias("k", "t")).where("t.words is not null")
+    found = found.select("row", "h", "k", F.lower("t.words").alias("term"), F.length("t.words").cast("long").alias("n"), "t.gap")
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("end", end).select("row", "h", "term", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def _outside(marked: DataFrame, base: DataFrame) -> DataFrame:
@@ -145,7 +140,9 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     hits = common.keep(docs.where(may).select("row", F.xxhash64("text").alias("h"), "text"), "pii-texts")
     base = common.keep(_matches(hits).where(_valid()), "pii-base")
     holders = base.select("row").distinct()
-    terms = _terms(hits.join(holders, "row", "left_semi"))
+    # A few long texts hold most terms: they are dealt out before they are cut.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms = _terms(hits.join(holders, "row", "left_semi").repartition(width, "row"))
     once, total = _one_of_each_text(docs)
     judged = common.keep(_judged(base, common.keep(terms.select("h", "term").distinct(), "pii-terms"), once, total), "pii-judged")
     told = common.bitmap(judged.select(F.xxhash64("h", "term").alias("ht")), "ht")

@@ -14,6 +14,8 @@ from .tokencount import slices
 
 #: Labelled documents of each class that the classifier is fitted on, those of the smallest hashes: the bound of the sample.
 SAMPLE = 2000
+#: Passages of a document that fitting sees, spread over all of it; scoring always takes every one.
+FITTED = 64
 #: Bytes of a passage, and of the texts handled at once.
 PASSAGE, SLICE = 512, 1 << 21
 HIDDEN, ATTENTION, ROUNDS, BAGS, RATE = 32, 16, 40, 64, 0.01
@@ -158,6 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             column = batch.column(2).cast(pa.binary())
             for k in range(batch.num_rows):
                 x, _ = passages([column[k].as_py()])
+                if len(x) > FITTED:
+                    x = x[np.linspace(0, len(x) - 1, FITTED).astype(int)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1).cast(pa.string()), batch.column(1).slice(k, 1), pa.array([x.astype("<f2").tobytes()], pa.binary())], ["id", "label", "x"])
 
     rows = sorted(own.mapInArrow(run, "id string, label int, x binary").collect(), key=lambda r: (r.id, r.label, r.x))

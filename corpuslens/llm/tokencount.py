@@ -29,15 +29,26 @@ def bytes_to_chars() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+@lru_cache(4)
+def ranges(pattern: str) -> list[tuple[int, int]]:
+    """The code points of a character class, as (first, last), by the Unicode tables of the tokenizers library: those of Python and of the regex module are of other versions."""
+    from tokenizers import Regex, normalizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    found = normalizers.Replace(Regex(f"[^{pattern}]"), "").normalize_str(every)
+    inside = np.zeros(0x110000, bool)
+    inside[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = True
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False)).tolist()
+    return [(a, b - 1) for a, b in zip(edge[::2], edge[1::2])]
+
+
 @lru_cache(1)
 def classes() -> np.ndarray:
     """The class of every code point."""
     out = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
-        for m in regex.finditer(f"{pattern}+", every):
-            first, last = ord(every[m.start()]), ord(every[m.end() - 1])
-            out[first : last + 1] = kind if last < 0xD800 or first >= 0xE000 else out[first : last + 1]
+        for first, last in ranges(pattern):
+            out[first : last + 1] = kind
     for chars, kind in (("\x1c\x1d\x1e\x1f", _OTHER), (" ", _BLANK), ("'", _QUOTE), ("stmd", _STMD), ("rv", _RV), ("e", _E), ("l", _L)):
         for c in chars:
             out[ord(c)] = kind

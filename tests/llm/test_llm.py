@@ -438,3 +438,28 @@ def test_scratch_is_released_alone(spark):
     assert other.count() == 3
     with pytest.raises(Exception):
         mine.collect()
+
+
+def test_tokenizers_know_the_library_s_characters():
+    """Every assigned class of characters, also those newer than Python's tables, splits words as the library has it."""
+    points = [k for k in range(0x20000) if not 0xD800 <= k < 0xE000 and not (0x3400 <= k < 0xD7A0 and k % 16 and not 0xA000 <= k < 0xAC00)]
+    texts = [f"a{chr(k)}b {chr(k)} 1{chr(k)}'s" for k in points]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = str(public_tokenizers.path(name))
+        library = Tokenizer.from_file(path)
+        library.no_truncation(), library.no_padding()
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        if name.startswith("byte"):
+            assert [len(w) for w in want] == tokencount.count_texts(texts, tokencount.Merges(path))
+        else:
+            mine = bpe.WordTokenizer(path)
+            assert [" ".join(map(str, w)) for w in want] == [mine.text(t)[1] for t in texts]
+
+
+def test_addresses_of_any_length(spark):
+    """Long runs and domains neither fail nor take long; matches are the plain pattern's."""
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    texts = ["x@" + ".".join(["ab"] * 300_000), "a." * 500_000 + " b@c.d", "a@b.c_d@e.f.g%h@i.j a@b@c.d @a.b x@y", "a@b.c.d@e.f", "+" * 200_000 + "@x.y"]
+    df = spark.createDataFrame([(k, t, "", 0, 0, "") for k, t in enumerate(texts)], SCHEMA)
+    found = {r.doc_id: [(x["start"], x["end"]) for x in r.base if x["kind"] == 0] for r in pii.spans(df).collect()}
+    assert found == {k: [m.span() for m in plain.finditer(t)] for k, t in enumerate(texts[:1] + ["b@c.d"] + texts[2:])} | {1: [(1_000_001, 1_000_006)]}
