@@ -15,7 +15,7 @@ from .tokencount import slices
 
 WINDOW = 13
 #: Symbols of one index, and bytes of text of one batch.
-SHARD_SYMBOLS, SLICE = 1 << 19, 1 << 23
+SHARD_SYMBOLS, SLICE = 1 << 19, 1 << 21
 #: Every so many text positions the index keeps the suffix's place.
 SAMPLE = 32
 #: Bytes of benchmark text that are sent to the workers at once; a larger benchmark goes in several passes.

@@ -15,7 +15,7 @@ from .tokencount import slices
 #: Counters of the rarity order, in so many slices; any number of them gives an exact join.
 COUNTERS, PARTS = 1 << 20, 64
 #: Bytes of text hashed at once; sets of one trie.
-SLICE, TRIE = 1 << 21, 512
+SLICE, TRIE = 1 << 20, 512
 
 _U = np.uint64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))

@@ -17,7 +17,7 @@ SAMPLE = 2000
 #: Passages of a document that fitting sees, spread over all of it; scoring always takes every one.
 FITTED = 64
 #: Bytes of a passage, and of the texts handled at once.
-PASSAGE, SLICE = 512, 1 << 21
+PASSAGE, SLICE = 512, 1 << 20
 HIDDEN, ATTENTION, ROUNDS, BAGS, RATE = 32, 16, 40, 64, 0.01
 #: A document is predicted good from this score on.
 THRESHOLD = 0.3
