@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import chunking, graph, resolution, retrieval, structure
+from corpuslens.engine import Engine
+from corpuslens.operators import chunking, entities, graph, resolution, retrieval, spans, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -205,7 +207,17 @@ def snippet_window(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), TERMS).alias("snippet"))
 
 
-_PATTERNS = " UNION ALL ".join("SELECT id, '{0}' AS entity_type, unnest(regexp_extract_all(text, '{1}')) AS value FROM every".format(k, p.replace("'", "''")) for k, p in graph.PATTERNS.items())
+def _plain_pattern(p: str) -> str:
+    """The pattern without what only keeps long runs cheap."""
+    for more in (r"(?:(?<![\w.+-])|\G)", r"(?:v|(?<!\d)|\G)"):
+        p = p.replace(more, "v?" if "v|" in more else "")
+    return p.replace("++", "+")
+
+
+_LEAST = " ".join(f"WHEN '{k}' THEN {n}" for k, n in graph.LEAST.items())
+_NOT = "(" + ", ".join(f"'{w}'" for w in graph.NO_IDENTIFIERS) + ")"
+_FOUND = " UNION ALL ".join(f"SELECT id, {k} AS rank, '{kind}' AS entity_type, unnest(regexp_extract_all(text, '{_plain_pattern(p)}')) AS value FROM every" for k, (kind, p) in enumerate(graph.PATTERNS))
+_PATTERNS = f"SELECT * FROM ({_FOUND}) WHERE strlen(value) >= CASE entity_type {_LEAST} ELSE 1 END AND NOT (entity_type = 'identifier' AND lower(value) IN {_NOT})"
 _EVERY = "WITH every AS (SELECT 'd' || doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'p' || page_id::VARCHAR, html FROM pages)"
 
 
@@ -379,3 +391,121 @@ def object_keys(spark, d):
 @query()
 def code_definitions(spark, d):
     return structure.definitions(_t(spark, d, "documents"))
+
+
+@query(f"{_EVERY}, m AS ({_PATTERNS}) SELECT value AS name, min_by(entity_type, rank) AS entity_type, count(DISTINCT id)::BIGINT AS chunks FROM m GROUP BY value")
+def entity_nodes(spark, d):
+    m = _mentions(spark, d)
+    edges = entities.mention_edges(m)
+    return entities.nodes(m).join(edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("chunks")), "node_id").select("name", "entity_type", "chunks")
+
+
+@query(f"""{_EVERY}, o AS (SELECT id, {{0}} FROM every) SELECT id, value, place AS "offset" FROM (SELECT id, unnest(hits) AS value, unnest(list_transform(range(1, len(hits) + 1), lambda i: (list_sum(list_transform(gaps[1:i], lambda g: strlen(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: strlen(g))), 0))::BIGINT)) AS place FROM o) WHERE strlen(value) >= 3"""
+       .replace("{0}", f"regexp_extract_all(text, '{_plain_pattern(graph.PATTERNS[6][1])}') AS hits, string_split_regex(text, '{_plain_pattern(graph.PATTERNS[6][1])}') AS gaps"))
+def version_offsets(spark, d):
+    docs = _t(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    pages = _t(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")), "html")
+    return graph.located_mentions(docs.union(pages), "id", "text").where("entity_type = 'version'").select("id", "value", "offset")
+
+
+@query(f"WITH {_edges_sql('l_suppkey')} SELECT CASE WHEN a = {ENTITY} THEN b ELSE a END AS dst, weight FROM e WHERE a = {ENTITY} OR b = {ENTITY} ORDER BY weight DESC, dst LIMIT 10")
+def entity_connections(spark, d):
+    return entities.connections(graph.cooccurrence(_star(spark, d)), ENTITY, 10)
+
+
+@query(f"WITH {_edges_sql('l_suppkey')} SELECT DISTINCT doc FROM m WHERE entity IN ({ENTITY}, {FRIEND})")
+def entity_documents(spark, d):
+    m = _star(spark, d)
+    edges = m.select(F.col("chunk").alias("src"), F.col("entity").alias("dst")).distinct()
+    asked = spark.range(ENTITY, FRIEND + 1).select(F.col("id").alias("node_id"))
+    return entities.documents_of(edges, asked, m.select("chunk", "doc").distinct())
+
+
+@query(f"""{_EVERY}, m AS ({_PATTERNS}), {_bm25_sql({0: TERMS})}, hit AS (SELECT DISTINCT substr(id, 2)::BIGINT AS id FROM m WHERE entity_type = 'version' AND id LIKE 'd%')
+SELECT scored.id, round(score + CASE WHEN hit.id IS NULL THEN 0 ELSE 0.3 END, 6) AS score FROM scored LEFT JOIN hit USING (id)""".replace("hit AS (SELECT * FROM tf", "hits AS (SELECT * FROM tf").replace("FROM hit GROUP BY term", "FROM hits GROUP BY term").replace("FROM hit JOIN df", "FROM hits JOIN df"))
+def entity_boost(spark, d):
+    docs = _t(spark, d, "documents")
+    m = graph.mentions(docs, "doc_id", "text")
+    asked = entities.nodes(m.where("entity_type = 'version'"))
+    found = entities.documents_of(entities.mention_edges(m), asked, docs.select(F.col("doc_id").alias("chunk"), F.col("doc_id").alias("doc")))
+    return entities.boosted(retrieval.bm25(docs, {0: TERMS}).drop("query_id"), found, 0.3)
+
+
+@query("SELECT conv_id AS doc, max(turn) AS confidence FROM conversations GROUP BY conv_id")
+def document_confidence(spark, d):
+    return entities.by_confidence(_t(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("confidence")))
+
+
+_WORD = r"\w+(?:-\w+)*|\S"
+
+
+@query(f"""WITH o AS (SELECT vec AS id, regexp_extract_all(text, '{_WORD}') AS hits, string_split_regex(text, '{_WORD}') AS gaps FROM (SELECT p_partkey AS vec, p_name || ' (no-frills): ' || p_name AS text FROM part UNION ALL SELECT -1 - c_custkey, c_name FROM customer))
+SELECT id, value, start, start + length(value) AS "end" FROM (SELECT id, unnest(hits) AS value, unnest(list_transform(range(1, len(hits) + 1), lambda i: (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0))::BIGINT)) AS start FROM o)""")
+def word_tokens(spark, d):
+    named = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" (no-frills): "), "p_name").alias("text"))
+    named = named.union(_t(spark, d, "customer").select(-1 - F.col("c_custkey"), "c_name"))
+    return spans.word_tokens(named, "id", "text").drop("k")
+
+
+@query("SELECT conv_id, s AS start, s + w AS \"end\" FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), range(64) a(s), range(1, 13) b(w) WHERE s + w <= n")
+def span_candidates(spark, d):
+    sized = _t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    return spans.spans(sized, "n", "conv_id")
+
+
+@query("SELECT lang, count(*) AS n, count(DISTINCT regexp_replace(source || '/' || doc_id::VARCHAR, '/[^/]*$', '')) AS folders FROM documents GROUP BY lang")
+def parent_folders(spark, d):
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return _t(spark, d, "documents").select("lang", F.regexp_replace(path, "/[^/]*$", "").alias("folder")).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("folder").alias("folders"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' ELSE printf('%.1f', n / 1048576.0) || ' MB' END AS written FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
+def sizes_written(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.bytes_written(F.octet_length("text").cast("long")).alias("written"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE::TIMESTAMP WHEN 1 THEN date_trunc('month', o_orderdate)::TIMESTAMP WHEN 2 THEN date_trunc('year', o_orderdate)::TIMESTAMP END AS date FROM orders")
+def date_arguments(spark, d):
+    at, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    given = F.when(k == 0, F.date_format(at, "yyyy-MM-dd")).when(k == 1, F.date_format(at, "yyyy-MM")).when(k == 2, F.date_format(at, "yyyy")).otherwise("soon")
+    return _t(spark, d, "orders").select("o_orderkey", T.date_argument(given).alias("date"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 7 = 0")
+def vector_commit(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "label")
+    return retrieval.committed(e, e.where("vec_id % 7 = 0"), e.where("vec_id % 7 = 0").withColumn("vec_id", F.col("vec_id") + 1000000), "vec_id")
+
+
+@query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS first FROM embeddings GROUP BY label")
+def pooled_vectors(spark, d):
+    pooled = retrieval.mean_pooled(_t(spark, d, "embeddings"), "label", "embedding")
+    return pooled.select("label", "n", F.round(F.get("mean", F.lit(0)), 6).alias("first"))
+
+
+def _home(spark) -> str:
+    """A folder of its own for an index: below spark.checkpoint.dir, which all executors share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/corpuslens/index-{uuid.uuid4().hex}"
+
+
+def _engine(spark, d) -> Engine:
+    engine = Engine(spark, _home(spark))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("name"), F.col("text").alias("content"), F.col("lang").alias("content_type"))
+    engine.index(docs.select("*", F.lit(None).cast("string").alias("content_hash"), F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified")))
+    return engine
+
+
+@query(f"WITH {_bm25_sql({0: ['was', 'from', 'en']})} SELECT id::VARCHAR AS doc_id, score FROM scored ORDER BY score DESC, id::VARCHAR LIMIT 10")
+def engine_query(spark, d):
+    return _engine(spark, d).query("was from? EN").select("doc_id", "score")
+
+
+@query(f"""WITH {_bm25_sql({0: ['was'], 1: ['the']})}, bad AS (SELECT id FROM (SELECT * FROM scored WHERE query_id = 1 ORDER BY score DESC, id::VARCHAR LIMIT 100) WHERE score > 0.5),
+best AS (SELECT id, score FROM scored WHERE query_id = 0 ORDER BY score DESC, id::VARCHAR LIMIT 90) SELECT id::VARCHAR AS doc_id, score FROM best WHERE id NOT IN (SELECT id FROM bad) ORDER BY score DESC, id::VARCHAR LIMIT 30""")
+def engine_negation(spark, d):
+    return _engine(spark, d).query("was not the", limit=30).select("doc_id", "score")
+
+
+@query(f"WITH {_DOCS} SELECT id::VARCHAR AS doc_id, len(list_filter(range(len(toks)), lambda i: toks[i + 1] = 'in' AND toks[i + 2] = 'the')) AS hits FROM d WHERE hits > 0")
+def stored_phrase(spark, d):
+    return _engine(spark, d).phrase(["in", "the"]).select(F.col("id").alias("doc_id"), "hits")

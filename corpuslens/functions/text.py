@@ -79,3 +79,28 @@ def yaml_quoted(text: Column) -> Column:
     for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     return F.concat(F.lit('"'), F.regexp_replace(text, r"[\x00-\x1f]", ""), F.lit('"'))
+
+
+def markdown_title(content: Column) -> Column:
+    """What follows the first line that begins with "# ", or null."""
+    title = F.trim(F.regexp_extract(content, r"(?m)^[ \t]*# (.*)$", 1))
+    return F.when(content.rlike(r"(?m)^[ \t]*# "), title)
+
+
+def pdf_cleaned(text: Column) -> Column:
+    """Text out of a PDF without zeros and line-end blanks; a form feed ends a paragraph."""
+    text = F.replace(F.replace(text, F.lit("\0"), F.lit("")), F.lit("\f"), F.lit("\n\n"))
+    return F.regexp_replace(F.regexp_replace(text, r"[^\S\n]+(?=\n|\z)", ""), r"\n\z", "")
+
+
+def date_argument(s: Column) -> Column:
+    """A timestamp of yyyy-MM-dd, yyyy-MM or yyyy; null for anything else."""
+    s = F.trim(s)
+    full = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), s).when(s.rlike(r"^\d{4}-\d{1,2}$"), F.concat(s, F.lit("-01"))).when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01-01")))
+    return F.try_to_timestamp(full, F.lit("yyyy-M-d"))
+
+
+def bytes_written(n: Column) -> Column:
+    """A size for people: B, KB or MB."""
+    small, mb = F.concat(n.cast("string"), F.lit(" B")), F.concat(F.format_string("%.1f", n / (1024.0 * 1024.0)), F.lit(" MB"))
+    return F.when(n < 1024, small).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB"))).otherwise(mb)

@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What is left out of names before they are compared.
-TITLES = ["president", "dr.", "dr", "mr.", "mr", "mrs.", "mrs", "ms.", "ms", "prof.", "professor", "senator", "sir", "ceo"]
-SUFFIXES = [", inc.", " inc.", " inc", ", llc", " llc", " ltd.", " ltd", " corp.", " corp", " corporation", " company", " co.", " gmbh", " ag"]
+# Titles that are left out of persons' names, and endings that are left out of organizations'; the first that fits goes.
+TITLES = [
+    "president ", "vice president ", "attorney general ", "general ", "senator ", "representative ", "secretary ", "minister ", "prime minister ",
+    "prince ", "princess ", "king ", "queen ", "lord ", "lady ", "sir ", "dame ", "dr. ", "dr ", "prof. ", "prof ", "mr. ", "mr ", "mrs. ", "mrs ",
+    "ms. ", "ms ", "miss ", "ceo ", "cfo ", "coo ", "cto ", "judge ", "justice ", "chief justice ", "director ", "commissioner ", "captain ", "colonel ",
+    "major ", "lieutenant ", "sergeant ", "officer ", "agent ",
+]
+SUFFIXES = [
+    ", inc.", ", inc", " inc.", " inc", ", corp.", ", corp", " corp.", " corp", ", llc", " llc", ", ltd.", ", ltd", " ltd.", " ltd", ", co.", ", co", " co.", " co",
+    " corporation", " incorporated", " company", " group", " holdings",
+]
 
 
-def _plain(name: Column) -> Column:
+def _plain(name: Column, kind: Column) -> Column:
+    """The name in lower case, without a person's title or an organization's ending."""
     escape = lambda s: s.replace(".", r"\.")
-    name = F.regexp_replace(F.lower(name), "^(?:" + "|".join(f"{escape(t)} " for t in TITLES) + ")", "")
-    return F.trim(F.regexp_replace(name, "(?:" + "|".join(map(escape, SUFFIXES)) + ")$", ""))
+    low = F.lower(name)
+    person = F.regexp_replace(low, "^(?:" + "|".join(map(escape, TITLES)) + ")", "")
+    organization = F.regexp_replace(low, "(?:" + "|".join(map(escape, SUFFIXES)) + ")$", "")
+    return F.trim(F.when(kind == "person", person).when(kind == "organization", organization).otherwise(low))
 
 
 def _matches(kind: Column, a: Column, b: Column) -> Column:
@@ -35,7 +46,7 @@ def resolve(entities: DataFrame) -> DataFrame:
     stay is kept; one whose earliest match not taken is kept is taken.
     """
     spark = entities.sparkSession
-    rows = entities.select("id", "entity_type", _plain(F.col("name")).alias("name"), F.struct(-F.length("name"), "name", "id").alias("at")).where("name <> ''")
+    rows = entities.select("id", "entity_type", _plain(F.col("name"), F.col("entity_type")).alias("name"), F.struct(-F.length("name"), "name", "id").alias("at")).where("name <> ''")
     match = _matches(F.col("entity_type"), F.col("x_name"), F.col("y_name"))
     named = lambda df, s: df.select("entity_type", "word", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "at")])
     words = rows.select("id", "entity_type", "name", "at", F.explode(F.array_distinct(F.split("name", r"\s+"))).alias("word"))

@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens import catalogue
 from corpuslens.engine import Engine
@@ -107,3 +108,79 @@ def test_files(spark, tmp_path):
     assert set(found) == {"a.md", "t.tsv", "p.html"}
     assert found["t.tsv"].content == "Columns: x, y\n\nx: 1 | y: 2\nx: 3"
     assert found["p.html"].content.strip() == "One & two"
+
+
+def test_query_words_are_cut_like_the_index(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.index(docs(spark, [("a.md", "rust for ci/cd pipelines", NOW), ("b.md", "rust in the kitchen, ci of a cd", NOW), ("c.md", "nothing", None)]))
+    assert {r.doc_id for r in e.query("rust?", now=NOW).collect()} == {"a.md", "b.md"}
+    assert {r.doc_id for r in e.query("rust not CI/CD", now=NOW).collect()} == {"b.md"}
+    assert {r.id for r in e.phrase(["ci", "cd"]).collect()} == {"a.md"}
+    assert e.query("", now=NOW).count() == 0 and Engine(spark, str(tmp_path), "empty").query("rust").count() == 0
+
+
+def test_dates_entities_and_replaced_documents(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.index(docs(spark, [("a.md", "zebra MyClass v1.2.3", NOW), ("b.md", "zebra", NOW - dt.timedelta(days=400)), ("c.md", "zebra", None)]))
+    assert {r.doc_id for r in e.query("zebra", now=NOW, after=NOW - dt.timedelta(days=9)).collect()} == {"a.md", "c.md"}
+    assert {r.doc_id for r in e.query("zebra", now=NOW, before=NOW - dt.timedelta(days=9)).collect()} == {"b.md", "c.md"}
+    flat, recent = ({r.doc_id: r.score for r in e.query("zebra", now=NOW, recent=x).collect()} for x in (False, True))
+    assert recent["c.md"] == flat["c.md"] and recent["a.md"] > flat["a.md"]
+    named = {r.doc_id: r.score for r in e.query("zebra", now=NOW, names=["MyClass", "Other"]).collect()}
+    assert named["a.md"] == pytest.approx(flat["a.md"] + 0.15) and named["b.md"] == flat["b.md"]
+    assert {(r.a, r.b, r.weight) for r in e.edges().collect()} == {("MyClass", "v1.2.3", 1)} and e.related("MyClass").first().dst == "v1.2.3"
+    e.index(docs(spark, [("a.md", "lion", NOW)]))
+    assert e.mentions().count() == 0 and {r.doc_id for r in e.query("zebra", now=NOW).collect()} == {"b.md", "c.md"}
+    assert [r.doc_id for r in e.query("lion", now=NOW).collect()] == ["a.md"]
+
+
+def test_fused_with_vectors(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.index(docs(spark, [("a.md", "zebra zebra", NOW), ("b.md", "zebra and much more of it", NOW), ("v.md", "striped horse", NOW)]))
+    dense = spark.createDataFrame([("v.md", 0.9), ("a.md", 0.1)], "id string, score double")
+    assert e.query("zebra", now=NOW, dense=dense, alpha=0.9).first().doc_id == "v.md"
+    assert {r.doc_id for r in e.query("zebra", now=NOW, dense=dense, alpha=0.0).collect()} == {"a.md", "b.md"}
+
+
+def test_mentions_of_every_kind_and_any_length(spark):
+    text = "See https://x.y/z). Mail a.b@c.d on 2024-01-02, March 4, 2024 or 03/04/2024; v1.2.3-rc1 of MyClass, snake_case and The_"
+    rows = [(1, text), (2, "a" + "_b" * 300_000), (3, "1" * 300_000), (4, "a." * 200_000), (5, None), (6, "")]
+    found = graph.located_mentions(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    one = {(r.entity_type, r.value) for r in found if r.id == 1}
+    assert one >= {("url", "https://x.y/z"), ("email", "a.b@c.d"), ("date", "2024-01-02"), ("date", "March 4, 2024"), ("date", "03/04/2024"), ("version", "v1.2.3-rc1"), ("identifier", "MyClass"), ("identifier", "snake_case")}
+    assert all(text.encode()[r.offset :].startswith(r.value.encode()) for r in found if r.id == 1)
+    assert [r.value for r in found if r.id == 2] == [rows[1][1]] and not [r for r in found if r.id in (3, 5, 6)]
+
+
+def test_titles_and_endings_go_by_type(spark):
+    rows = [(1, "Vice President Jane Roe", "person"), (2, "Jane Roe", "person"), (3, "President Hotel", "organization"), (4, "Hotel", "location"), (5, "Acme Holdings", "organization"), (6, "acme", "organization")]
+    found = {r.alias_id: r.canonical_id for r in resolution.resolve(spark.createDataFrame(rows, "id long, name string, entity_type string")).collect()}
+    assert found == {2: 1, 6: 5}
+
+
+def test_best_spans_apart(spark):
+    from corpuslens.operators import spans
+
+    rows = [(1, [(0.9, 2, 5), (0.8, 4, 7), (0.7, 5, 6), (0.7, 0, 2)]), (2, [])]
+    found = spark.createDataFrame(rows, "id int, s array<struct<score:double,start:int,end:int>>").select("id", spans.apart(F.col("s")).alias("s")).collect()
+    assert {r.id: [(x.start, x.end) for x in r.s] for r in found} == {1: [(0, 2), (2, 5), (5, 6)], 2: []}
+
+
+def test_a_text_that_comes_back_is_a_change(spark, tmp_path):
+    from corpuslens.streaming.watch import ingest_available
+
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    rows = lambda t: spark.createDataFrame([(1, t), (2, "same")], "doc_id long, text string")
+    hashes = []
+    for t in ("one", "two", "one"):
+        rows(t).coalesce(1).write.mode("append").parquet(source)
+        hashes.append({r.doc_id: r.hash for r in ingest_available(spark, rows("").schema, source, state).collect()})
+    assert hashes[0] == hashes[2] != hashes[1] and all(len(h) == 2 for h in hashes)
+
+
+def test_small_scalars(spark):
+    from corpuslens.functions import text as T
+
+    row = spark.createDataFrame([("x\n  # Title here \n# Other", "a \0b  \fc\t\nd\n", 1536, "2024-03")], "md string, pdf string, n long, d string")
+    got = row.select(T.markdown_title(F.col("md")), T.pdf_cleaned(F.col("pdf")), T.bytes_written(F.col("n")), T.date_argument(F.col("d"))).first()
+    assert tuple(got) == ("Title here", "a b\n\nc\nd", "1.5 KB", dt.datetime(2024, 3, 1))
