@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 #: The lists of scratch() that are open; without one, what keep() writes stays until the shared folder goes.
 _kept: list[list[str]] = []
+#: Rows of texts that are sent to a Python worker at once, and the setting that says so.
+ROWS_A_BATCH, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Has Spark delete a query's shuffle files as soon as it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Its texts may be long: Python workers get ROWS_A_BATCH of them at once, unless the session says otherwise."""
+    if spark.conf.get(_ROWS) == "10000":  # Spark's default
+        spark.conf.set(_ROWS, str(ROWS_A_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -34,10 +34,10 @@ def ranges(pattern: str) -> list[tuple[int, int]]:
     """The code points of a character class, as (first, last), by the Unicode tables of the tokenizers library: those of Python and of the regex module are of other versions."""
     from tokenizers import Regex, normalizers
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    found = normalizers.Replace(Regex(f"[^{pattern}]"), "").normalize_str(every)
-    inside = np.zeros(0x110000, bool)
-    inside[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = True
+    kept, inside = normalizers.Replace(Regex(f"[^{pattern}]"), ""), np.zeros(0x110000, bool)
+    for low in range(0, 0x110000, 4096):  # in blocks: the library holds much more than the text
+        found = kept.normalize_str("".join(chr(k) for k in range(low, low + 4096) if not 0xD800 <= k < 0xE000))
+        inside[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = True
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False)).tolist()
     return [(a, b - 1) for a, b in zip(edge[::2], edge[1::2])]
 
