@@ -101,6 +101,6 @@ def date_argument(s: Column) -> Column:
 
 
 def bytes_written(n: Column) -> Column:
-    """A size for people: B, KB or MB."""
-    small, mb = F.concat(n.cast("string"), F.lit(" B")), F.concat(F.format_string("%.1f", n / (1024.0 * 1024.0)), F.lit(" MB"))
-    return F.when(n < 1024, small).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB"))).otherwise(mb)
+    """A size for people: B, KB or MB, ties to the even digit."""
+    small, mb = F.concat(n.cast("string"), F.lit(" B")), F.concat(F.format_string("%.1f", F.bround(n / (1024.0 * 1024.0), 1)), F.lit(" MB"))
+    return F.when(n < 1024, small).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", F.bround(n / 1024.0, 1)), F.lit(" KB"))).otherwise(mb)
