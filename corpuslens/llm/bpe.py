@@ -14,15 +14,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .tokencount import bytes_to_chars, ranges, slices
+from .tokencount import Words, bytes_to_chars, ranges, slices
 
 # Fixed value: how the vocabulary's tokenizer finds words in lower-case text, of letters L, numbers N and white space S.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^SLN]+"
 # The same where every character is in Latin-1, for the faster of two matchers.
 _LATIN_L, _LATIN_N, _LATIN_S = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN_L}]+|[{_LATIN_N}]|[^{_LATIN_S}{_LATIN_L}{_LATIN_N}]+"
-#: Words that a worker remembers; beyond it starts anew.
-MOST_WORDS = 150_000
+#: Words that a worker remembers: twice so many.
+MOST_WORDS = 200_000
 #: Bytes of text handled at once.
 SLICE = 1 << 22
 
@@ -47,8 +47,8 @@ def library_normal():
     return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
-class WordTokenizer(dict):
-    """word -> (ids as text, number of ids, decoded text); a word not yet met is encoded by the merges."""
+class WordTokenizer:
+    """Words and texts to ids and back; words: word -> (ids as text, number of ids, decoded text), by the merges if it's not remembered."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -56,45 +56,64 @@ class WordTokenizer(dict):
         model = whole["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
-        self.char = bytes_to_chars()
+        # Symbols are numbered as they are met; a pair is one number, its merge (rank, symbol made).
+        self.number: dict[str, int] = {}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.merge = {self._symbol(a) << 32 | self._symbol(b): (k, self._symbol(a + b)) for k, (a, b) in enumerate(pairs)}
+        self.byte = [self._symbol(c) for _, c in sorted(bytes_to_chars().items())]
+        self.last_byte = [self._symbol(c + self.end) for _, c in sorted(bytes_to_chars().items())]
+        self.token = [self.vocab.get(s) for s in self.number]
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.words = Words(self.round_trip, MOST_WORDS)
         self.latin = re.compile(LATIN_WORDS)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    def _symbol(self, s: str) -> int:
+        return self.number.setdefault(s, len(self.number))
+
     def encode_word(self, word: str) -> list[int]:
-        symbols = [self.char[b] for b in word.encode("utf-8", "replace")]
-        symbols[-1] += self.end
-        n = len(symbols)
+        """The ids of a word. The queue holds rank * n + place; an entry is stale if the pair at its place has another rank by now."""
+        data, merge = word.encode("utf-8", "replace"), self.merge.get
+        n, byte = len(data), self.byte
+        symbols = [byte[b] for b in data]
+        symbols[-1] = self.last_byte[data[-1]]
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(self.rank[p], k, *p) for k, p in enumerate(zip(symbols, symbols[1:])) if p in self.rank]
+        found = [merge(a << 32 | b) for a, b in zip(symbols, symbols[1:])]
+        found.append(None)
+        queue = [m[0] * n + k for k, m in enumerate(found) if m]
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, k, left, right = heapq.heappop(queue)
-            other = after[k]
-            if symbols[k] != left or other < 0 or symbols[other] != right:
+            rank, k = divmod(pop(queue), n)
+            m = found[k]
+            if m is None or m[0] != rank:
                 continue  # stale: one of the two has been merged since
-            symbols[k] = left + right
-            symbols[other] = ""
-            after[k] = after[other]
-            if after[k] >= 0:
-                before[after[k]] = k
-            for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b >= 0 and (p := (symbols[a], symbols[b])) in self.rank:
-                    heapq.heappush(queue, (self.rank[p], a, *p))
-        return [self.vocab[s] for s in symbols if s and s in self.vocab]
+            other = after[k]
+            symbols[k], symbols[other], found[other] = m[1], -1, None
+            after[k] = follower = after[other]
+            if follower >= 0:
+                before[follower] = k
+                m = found[k] = merge(symbols[k] << 32 | symbols[follower])
+                if m:
+                    push(queue, m[0] * n + k)
+            else:
+                found[k] = None
+            a = before[k]
+            if a >= 0:
+                m = found[a] = merge(symbols[a] << 32 | symbols[k])
+                if m:
+                    push(queue, m[0] * n + a)
+        token = self.token
+        return [token[s] for s in symbols if s >= 0 and token[s] is not None]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings one after the other; this file names no decoder, so they keep their word ends and stand apart by a space, as the library has it."""
         return " ".join(self.strings[i] for i in ids)
 
-    def __missing__(self, word: str) -> tuple[str, int, str]:
+    def round_trip(self, word: str) -> tuple[str, int, str]:
         ids = self.encode_word(word)
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = found = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        return found
+        return " ".join(map(str, ids)), len(ids), self.decode(ids)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -107,7 +126,7 @@ class WordTokenizer(dict):
     def text(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by a space, decoded text) of a whole text."""
         found: list[tuple[str, int, str]] = []
-        get = self.__getitem__
+        get = self.words.__getitem__
         for part in self.parts.split(text) if self.parts and "<|" in text else (text,):
             if part in self.special:
                 found.append((str(self.special[part]), 1, part))
@@ -119,8 +138,10 @@ class WordTokenizer(dict):
                 except UnicodeEncodeError:
                     words = words_pattern(0xFFFF if max(part) < "\U00010000" else 0x10FFFF).findall(part)
                 found += map(get, words)
-        found = [x for x in found if x[1]]
-        return sum(x[1] for x in found), " ".join([x[0] for x in found]), " ".join([x[2] for x in found])
+        ids, n, strings = zip(*found) if found else ((), (), ())
+        if 0 in n:  # words without any token
+            ids, strings = filter(None, ids), (s for s, k in zip(strings, n) if k)
+        return sum(n), " ".join(ids), " ".join(strings)
 
 
 @lru_cache(1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -18,8 +18,8 @@ START, ONE_BLANK, ONE_SPACE, MORE_BLANK, MORE_SPACE, WORD, DIGITS, SIGNS, QUOTED
 _STATES = 12
 #: Characters of a chunk, and of the texts that are handled at once.
 CHUNK, SLICE = 64, 1 << 19
-#: States, pairs of tokens and words that a worker holds; of each it drops all beyond that number and goes on.
-MOST_STATES, MOST_PAIRS, MOST_WORDS = 400_000, 600_000, 200_000
+#: States and pairs of tokens that a worker holds; of each it drops all beyond that number and goes on. Words: twice so many.
+MOST_STATES, MOST_PAIRS, MOST_WORDS = 1_000_000, 600_000, 250_000
 
 
 def bytes_to_chars() -> dict[int, str]:
@@ -122,16 +122,20 @@ def boundaries(kinds: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """word -> number of tokens; a word not yet met runs through the transducer."""
+    """word -> what make(word) gives. Once it holds `most` words they become the older half; of these, words met again return, the others go."""
 
-    def __init__(self, count) -> None:
-        self.count = count
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MOST_WORDS:
+    def __missing__(self, word: str):
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[word] = n = self.count(word)
-        return n
+        self[word] = found
+        return found
 
 
 class Merges:
@@ -153,9 +157,14 @@ class Merges:
         byte = lambda s: bytes(back[c] for c in s)
         self.merge = {(self.ids[byte(a)], self.ids[byte(b)]): (k, self.ids[byte(a + b)]) for k, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.ids))
+        sizes: dict[bytes, set[int]] = {}
+        for t in self.ids:
+            sizes.setdefault(t[-3:], set()).add(len(t))
+        # By a word's last three bytes the lengths, longest first, that a token at its end may have.
+        self.sizes = {end: (*sorted((n for n in of if n > 2), reverse=True), 2, 1) for end, of in sizes.items() if len(end) == 3}
         self.special = [t["content"] for t in whole["added_tokens"]]
         self.fits: dict[int, bool] = {}
-        self.words = Words(self.count)
+        self.words = Words(self.count, MOST_WORDS)
         self.reset()
 
     def reset(self) -> None:
@@ -183,13 +192,17 @@ class Merges:
             fit = self.fits[key] = self.merged([self.ids[bytes([x])] for t in parts for x in self.text[t]]) == parts
         return fit
 
-    def step(self, read: bytes, last: list[int]) -> tuple[int, int]:
-        """(last token, its length) after reading `read`, given the last tokens after each shorter prefix."""
-        n = len(read)
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.ids.get(read[n - size :])
-            if token is not None and self.beside(last[n - size], token):
-                return token, size
+    def step(self, read: bytes, last: list[int], path: Sequence[int]) -> tuple[int, int]:
+        """(last token, its length) after reading `read`; last[path[n]] is the last token after its first n bytes."""
+        n, ids, fits = len(read), self.ids.get, self.fits.get
+        for size in self.sizes.get(read[-3:], (2, 1)):
+            if size <= n:
+                token = ids(read[n - size :])
+                if token is not None:
+                    a = last[path[n - size]]
+                    fit = fits((a + 1) << 20 | token)
+                    if fit or fit is None and self.beside(a, token):
+                        return token, size
         raise ValueError("a byte without a token")
 
     def count(self, word: str) -> int:
@@ -197,7 +210,8 @@ class Merges:
         if len(data) > 200:  # too rare to keep states for
             last, tokens = [-1], [0]
             for n in range(1, len(data) + 1):
-                token, size = self.step(data[max(0, n - self.longest - 1) : n], last[max(0, n - self.longest - 1) :])
+                begin = max(0, n - self.longest - 1)
+                token, size = self.step(data[begin:n], last, range(begin, n + 1))
                 last.append(token)
                 tokens.append(tokens[n - size] + 1)
             return tokens[-1]
@@ -208,7 +222,7 @@ class Merges:
             key = state << 8 | byte
             to = self.next.get(key)
             if to is None:
-                token, size = self.step(data[:n], [self.last[s] for s in path])
+                token, size = self.step(data[:n], self.last, path)
                 to = self.next[key] = len(self.last)
                 self.last.append(token)
                 self.tokens.append(self.tokens[path[n - size]] + 1 - self.tokens[state])  # what the transition into it emits
