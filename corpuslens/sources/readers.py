@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens.functions.text import html_text
 
@@ -21,20 +26,48 @@ def content_type(path: Column) -> Column:
     return F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
 
 
-def files(spark: SparkSession, folder: str, exclude: list[str] | None = None) -> DataFrame:
-    """The readable files below a folder, without hidden and excluded ones; the hash is of the raw bytes."""
+def files(spark: SparkSession, folder: str | list[str], exclude: list[str] | None = None) -> DataFrame:
+    """The readable files below a folder (or several), without hidden, excluded and empty ones; the hash is of the raw bytes."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     hidden = "|".join(rf"/{n.replace('.', chr(92) + '.')}/" for n in [*EXCLUDED, *(exclude or [])])
     rows = rows.where(~F.col("path").rlike(hidden) & ~F.col("path").rlike(r"/\.[^/]+$")).withColumn("content_type", content_type(F.col("path"))).where("content_type is not null")
     raw = F.decode("content", "UTF-8")
-    text = F.when(F.col("content_type") == "html", html_text(raw)).when(F.col("content_type") == "csv", table_text(raw, F.when(F.lower("path").endswith(".tsv"), "\t").otherwise(","))).otherwise(raw)
+    csv_only = F.when(F.col("content_type") == "csv", raw)  # no other text goes to Python
+    table = table_text(csv_only, F.when(F.lower("path").endswith(".tsv"), "\t").otherwise(","))
+    text = F.when(F.col("content_type") == "html", html_text(raw)).otherwise(F.coalesce(table, raw))
     return rows.select(F.col("path").alias("doc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), text.alias("content"), "content_type", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def table_text(raw: Column, separator: Column) -> Column:
-    """Columns: a, b and each row as a: 1 | b: 2; rows may be ragged. Quoted separators are not looked at."""
-    pattern = F.concat(F.lit("["), separator, F.lit("]"))
-    lines = F.filter(F.split(raw, r"\r?\n"), lambda x: F.trim(x) != "")
-    head = F.transform(F.split(F.get(lines, F.lit(0)), pattern), lambda c: F.trim(c))
-    row = lambda line: F.array_join(F.transform(F.split(line, pattern), lambda v, i: F.concat(F.coalesce(F.get(head, i), F.lit("")), F.lit(": "), F.trim(v))), " | ")
-    return F.concat(F.lit("Columns: "), F.array_join(head, ", "), F.lit("\n\n"), F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), row), "\n"))
+def present(spark: SparkSession, folders: list[str]) -> list[str]:
+    """Those of the folders that are there."""
+    paths = [(f, spark._jvm.org.apache.hadoop.fs.Path(f)) for f in folders]
+    return [f for f, p in paths if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+
+
+@F.pandas_udf(T.StringType())
+def table_text(raw: pd.Series, separator: pd.Series) -> pd.Series:
+    """Columns: a, b and a blank line, then each row as a: 1 | b: 2. Fields may be quoted, rows ragged; rows that can't be read are left out."""
+
+    def one(text: str | None, mark: str) -> str | None:
+        if text is None:
+            return None
+        csv.field_size_limit(max(len(text), 1 << 17))
+        rows = csv.reader(io.StringIO(text, newline=""), delimiter=mark)
+        head, out = None, []
+        while True:
+            try:
+                row = next(rows)
+            except StopIteration:
+                break
+            except csv.Error:
+                continue
+            if not row:
+                continue
+            if head is None:
+                head = row
+                out += ["Columns: " + ", ".join(head), ""]
+            else:
+                out.append(" | ".join(f"{head[k]}: {v}" if k < len(head) and head[k] else v for k, v in enumerate(row)))
+        return "\n".join(out)
+
+    return pd.Series([one(t, m) for t, m in zip(raw, separator)], dtype=object)
