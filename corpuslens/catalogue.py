@@ -388,6 +388,11 @@ def object_keys(spark, d):
     return structure.object_keys(_t(spark, d, "events"), "event_id", "props")
 
 
+@query("SELECT event_id AS doc_id, 0 AS pos, unnest(json_keys(props)) AS title, json_extract(props, '$.k')::VARCHAR AS body FROM events")
+def keyed_chunks(spark, d):
+    return structure.keyed_chunks(_t(spark, d, "events"), "event_id", "props")
+
+
 @query()
 def code_definitions(spark, d):
     return structure.definitions(_t(spark, d, "documents"))
