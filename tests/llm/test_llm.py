@@ -164,6 +164,22 @@ def test_line_dedup(spark, corpus):
     assert linededup.dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("counted", [1, 1 << 30])
+def test_line_dedup_is_the_same_whatever_is_counted(spark, corpus, counted, monkeypatch):
+    df, _ = corpus
+    want = Counter((r.doc_id, r.text, r.n_removed) for r in linededup.dedup(df).collect())
+    monkeypatch.setattr(linededup, "COUNTED", counted)
+    assert Counter((r.doc_id, r.text, r.n_removed) for r in linededup.dedup(df).collect()) == want
+
+
+def test_line_dedup_makes_sets_outside_lambdas(spark, corpus, monkeypatch):
+    """What stands in a lambda or under one is interpreted word by word: there, sets and sorting took most of the query's time."""
+    plans, keep = {}, common.keep
+    monkeypatch.setattr(common, "keep", lambda df, tag: (plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString()), keep(df, tag))[1])
+    linededup.dedup(corpus[0])
+    assert not re.search(r"lambdafunction\((array_distinct|sort_array|named_struct|split)|(transform|aggregate)\((array_distinct|sort_array)", plans["lines"])
+
+
 def words(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
 
