@@ -38,36 +38,48 @@ def _matches(kind: Column, a: Column, b: Column) -> Column:
 
 
 def resolve(entities: DataFrame) -> DataFrame:
-    """alias_id, canonical_id of entities(id, name, entity_type).
+    """alias_id, canonical_id of entities(id, name, entity_type), whose ids are unique within a type.
 
     In the order of length (longest first), then name, then id, each name not taken yet takes all later ones
-    that match it. Candidates meet on a shared word, or (names that another one may take in as a part of its
+    that match it. What matches follows from type and name alone, so equal names are one name here, under their
+    least id, and are told apart at the end. Candidates meet on their last word (persons of whom one is a last
+    name or has an initial) or (names that another one may take in as a part of its
     words) where the longer one holds the rarest four characters of the shorter. Rounds settle the order: a name none of whose earlier matches can still
     stay is kept; one whose earliest match not taken is kept is taken.
     """
     spark = entities.sparkSession
-    rows = entities.select("id", "entity_type", _plain(F.col("name"), F.col("entity_type")).alias("name"), F.struct(-F.length("name"), "name", "id").alias("at")).where("name <> ''")
+    rows = entities.select("id", "entity_type", _plain(F.col("name"), F.col("entity_type")).alias("name")).where("name <> '' and entity_type is not null").distinct()
+    names = rows.groupBy("entity_type", "name").agg(F.min("id").alias("first")).persist()
     match = _matches(F.col("entity_type"), F.col("x_name"), F.col("y_name"))
-    named = lambda df, s: df.select("entity_type", "word", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "at")])
-    words = rows.select("id", "entity_type", "name", "at", F.explode(F.array_distinct(F.split("name", r"\s+"))).alias("word"))
+    before = F.struct(-F.length("x_name"), "x_name") < F.struct(-F.length("y_name"), "y_name")
+    named = lambda df, s: df.select("entity_type", "word", F.col("name").alias(f"{s}_name"))
+    words = F.split("name", r"\s+")
+    people = names.where("entity_type = 'person'").select("entity_type", "name", F.element_at(words, -1).alias("word"), F.size(words).alias("n"), F.get(words, F.lit(0)).alias("begin"))
+    whole, short = people.where("n > 1"), people.where((F.col("n") == 1) | F.col("begin").rlike(r"^\p{L}\.?$"))
     parts = F.transform(F.sequence(F.lit(1), F.length("name") - 3), lambda i: F.substring("name", i, F.lit(4)))
-    grams = rows.where("length(name) >= 4").select("id", "entity_type", "name", "at", F.explode(F.array_distinct(parts)).alias("word"))
-    inner = grams.where("entity_type in ('organization', 'location') or (entity_type = 'person' and name rlike '\\\\s')")
+    grams = names.where("length(name) >= 4 and entity_type in ('organization', 'location', 'person')").select("entity_type", "name", F.explode(F.array_distinct(parts)).alias("word"))
+    inner = grams.where((F.col("entity_type") != "person") | F.col("name").rlike(r"\s"))
     seen = grams.groupBy("entity_type", "word").agg(F.count("*").alias("n"))
-    rarest = inner.join(seen, ["entity_type", "word"]).groupBy("id", "entity_type", "name", "at").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    rarest = inner.join(seen, ["entity_type", "word"]).groupBy("entity_type", "name").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
     on = ["entity_type", "word"]
-    pairs = named(words, "x").join(named(words, "y"), on).union(named(grams, "x").join(named(rarest, "y"), on)).where("x_at < y_at").where(match)
-    pairs = pairs.select(F.col("x_id").alias("canonical"), F.col("y_id").alias("alias"), F.col("x_at").alias("at")).distinct().persist()
-    state = spark.createDataFrame([], "alias long, canonical_id long")
+    pairs = named(whole, "x").join(named(short, "y"), on).union(named(grams, "x").join(named(rarest, "y"), on)).where(before).where(match)
+    key = lambda s: F.struct("entity_type", F.col(f"{s}_name").alias("name"))
+    pairs = pairs.select(key("x").alias("canonical"), key("y").alias("alias"), F.struct(-F.length("x_name"), "x_name").alias("at")).distinct().persist()
+    kind = "struct<entity_type: string, name: string>"
+    state = spark.createDataFrame([], f"alias {kind}, canonical {kind}")
     nodes = pairs.select(F.col("alias").alias("id")).union(pairs.select("canonical")).distinct().persist()
     kept = nodes.join(pairs.select(F.col("alias").alias("id")), "id", "left_anti")
     while True:
         taken = pairs.join(state.select("alias"), "alias", "left_anti").join(state.select(F.col("alias").alias("canonical")), "canonical", "left_anti")
-        first = taken.groupBy("alias").agg(F.min_by("canonical", "at").alias("canonical_id"))
-        new = first.join(kept.select(F.col("id").alias("canonical_id")), "canonical_id").join(kept.select(F.col("id").alias("alias")), "alias", "left_anti").select("alias", "canonical_id").persist()
+        first = taken.groupBy("alias").agg(F.min_by("canonical", "at").alias("canonical"))
+        new = first.join(kept.select(F.col("id").alias("canonical")), "canonical").join(kept.select(F.col("id").alias("alias")), "alias", "left_anti").select("alias", "canonical").persist()
         if new.isEmpty():
             break
         state = state.union(new).persist()
         left = pairs.join(state.select(F.col("alias").alias("canonical")), "canonical", "left_anti")
         kept = nodes.join(left.select(F.col("alias").alias("id")), "id", "left_anti").join(state.select(F.col("alias").alias("id")), "id", "left_anti").persist()
-    return state.select(F.col("alias").alias("alias_id"), "canonical_id")
+    ids = names.select(F.struct("entity_type", "name").alias("name"), F.col("first").alias("canonical_id"))
+    others = state.join(ids.withColumnRenamed("name", "canonical"), "canonical").select(F.col("alias").alias("name"), "canonical_id")
+    ends = ids.join(others.select("name"), "name", "left_anti").union(others)
+    aliases = rows.select("id", F.struct("entity_type", "name").alias("name")).join(ends, "name").where("id <> canonical_id")
+    return aliases.select(F.col("id").alias("alias_id"), "canonical_id")

@@ -184,3 +184,11 @@ def test_small_scalars(spark):
     row = spark.createDataFrame([("x\n  # Title here \n# Other", "a \0b  \fc\t\nd\n", 1536, "2024-03")], "md string, pdf string, n long, d string")
     got = row.select(T.markdown_title(F.col("md")), T.pdf_cleaned(F.col("pdf")), T.bytes_written(F.col("n")), T.date_argument(F.col("d"))).first()
     assert tuple(got) == ("Title here", "a b\n\nc\nd", "1.5 KB", dt.datetime(2024, 3, 1))
+
+
+def test_copies_of_a_name_are_no_pairs(spark):
+    kinds = [("Large Ring", "location"), ("Ring", "location"), ("Anvil", "location"), ("Jane Roe", "person"), ("J. Roe", "person")]
+    rows = [(i, *kinds[i % 5]) for i in range(20_000)] + [(0, "Roe", "person"), (5, "Jane Roe", "person")]  # ids are unique within a type only
+    found = sorted(map(tuple, resolution.resolve(spark.createDataFrame(rows, "id long, name string, entity_type string")).collect()))
+    first = {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    assert found == sorted([(i, first[i % 5]) for i in range(20_000) if first[i % 5] != i] + [(0, 3), (5, 3)])
