@@ -192,3 +192,17 @@ def test_copies_of_a_name_are_no_pairs(spark):
     found = sorted(map(tuple, resolution.resolve(spark.createDataFrame(rows, "id long, name string, entity_type string")).collect()))
     first = {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
     assert found == sorted([(i, first[i % 5]) for i in range(20_000) if first[i % 5] != i] + [(0, 3), (5, 3)])
+
+
+def test_dull_words_are_cut_before_patterns_and_nothing_changes(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    bits = ["May", "x_May", "June", "5,", "5", "2024", "2024-01-02", " ", " ", "٥", "a.b@c.d", "@", "/", "~/x", "./w", "http://a", "v1.2", "1.2.3-rc", "aB", "MyClass", "A_B", "s_t", "ABc", "Foo", "ñu", "Ñu", "wor.d", "京", ";", "-", ",", "\u0085"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " ", "\n", "\t", "  ", "\x0b", "\x1f"]) for _ in range(r.randrange(30))) for _ in range(4000)]
+    texts += ["plain words, " * 100_000, "x_May and 5, 2024", "in May 5, 2024", "May", " May  5 2024 "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(8)
+    cut = df.select("id", F.length(graph._telling(F.col("text"))).alias("n")).where(f"id = {4000}").first().n
+    found = sorted(map(tuple, graph.mentions(df, "id", "text").collect()))
+    monkeypatch.setattr(graph, "_telling", lambda text: text)
+    assert cut < 10 and found == sorted(map(tuple, graph.mentions(df, "id", "text").collect())) and len(found) > 5000
