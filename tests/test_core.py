@@ -206,3 +206,20 @@ def test_dull_words_are_cut_before_patterns_and_nothing_changes(spark, monkeypat
     found = sorted(map(tuple, graph.mentions(df, "id", "text").collect()))
     monkeypatch.setattr(graph, "_telling", lambda text: text)
     assert cut < 10 and found == sorted(map(tuple, graph.mentions(df, "id", "text").collect())) and len(found) > 5000
+
+
+def test_vector_pairs_by_blocks(spark, monkeypatch):
+    import random
+
+    from corpuslens.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 3)  # many blocks, some of them empty
+    r = random.Random(7)
+    rows = [(r.choice("ab"), i, [r.choice([-0.5, 0.1, 0.3, 0.7, 1.0]) for _ in range(3)]) for i in range(60)]
+    rows += [("a", 5, [1.0, 1.0, 1.0]), ("a", 90, [float("nan"), 0.0, 0.0]), ("a", 91, [float("inf"), 0.0, 1.0]), ("a", 92, [1e300, 1e300, -1e300]), ("a", 93, [1.0, None, 1.0]), ("a", 94, None), ("a", 95, []), ("a", 96, [1.0] * 4), ("b", 97, [1.0] * 4), ("b", 98, [1.0] * 4), (None, 99, [1.0] * 3)]
+    v = spark.createDataFrame(rows, "label string, id long, vector array<double>")
+    x, y = v.select("label", F.col("id").alias("a"), F.col("vector").alias("ea")), v.select("label", F.col("id").alias("b"), F.col("vector").alias("eb"))
+    plain = x.join(y, "label").where("a < b").select("label", "a", "b", F.round(retrieval.dot(F.col("ea"), F.col("eb")), 6).alias("score")).where("score >= 0.3")
+    found, wanted = (sorted(map(str, df.collect())) for df in (retrieval.pairs_above(v, 0.3), plain))
+    assert found == wanted and len(found) > 300
+    assert "CartesianProduct" not in (p := retrieval.pairs_above(v, 0.3)._jdf.queryExecution().toString()) and "FlatMapGroupsInArrow" in p
