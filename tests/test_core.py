@@ -223,3 +223,31 @@ def test_vector_pairs_by_blocks(spark, monkeypatch):
     found, wanted = (sorted(map(str, df.collect())) for df in (retrieval.pairs_above(v, 0.3), plain))
     assert found == wanted and len(found) > 300
     assert "CartesianProduct" not in (p := retrieval.pairs_above(v, 0.3)._jdf.queryExecution().toString()) and "FlatMapGroupsInArrow" in p
+
+
+def test_pairs_come_in_parts_by_what_is_read(spark, monkeypatch, tmp_path):
+    import itertools
+    import random
+    from collections import Counter, defaultdict
+
+    r = random.Random(3)
+    rows = [(r.choice([1, 2, 3, 4, None]), r.choice([7, 8, 9, None]), r.choice([*range(12), None])) for _ in range(300)]
+    chunks = defaultdict(set)
+    for chunk, doc, entity in rows:
+        if None not in (chunk, doc, entity):
+            chunks[chunk, doc].add(entity)
+    weight, documents = Counter(), defaultdict(set)
+    for (_, doc), held in chunks.items():
+        for pair in itertools.combinations(sorted(held), 2):
+            weight[pair] += 1
+            documents[pair].add(doc)
+    made = spark.createDataFrame(rows, "chunk long, doc long, entity long")
+    assert graph._parts(made) == 8
+    made.coalesce(1).write.parquet(str(tmp_path / "m"))
+    df = spark.read.parquet(str(tmp_path / "m"))
+    monkeypatch.setattr(graph, "PART_MB", 1e-4)
+    edges = graph.cooccurrence(df)
+    assert {(x.a, x.b): (x.weight, x.doc_count) for x in edges.collect()} == {p: (n, len(documents[p])) for p, n in weight.items()}
+    assert graph._parts(df) > 8 and edges._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 2
+    near = graph.neighbours(graph.cooccurrence(graph.beside(df, 5)), 5)
+    assert {(x.dst, x.weight) for x in near.collect()} == {(sum(p) - 5, n) for p, n in weight.items() if 5 in p}
