@@ -251,3 +251,12 @@ def test_pairs_come_in_parts_by_what_is_read(spark, monkeypatch, tmp_path):
     assert graph._parts(df) > 8 and edges._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 2
     near = graph.neighbours(graph.cooccurrence(graph.beside(df, 5)), 5)
     assert {(x.dst, x.weight) for x in near.collect()} == {(sum(p) - 5, n) for p, n in weight.items() if 5 in p}
+
+
+def test_nodes_are_counted_in_one_reading(spark, tmp_path):
+    from corpuslens.operators import entities
+
+    spark.createDataFrame([("a", "v1.2 and v1.2, MyClass"), ("b", "v1.2"), ("c", None)], "id string, text string").write.parquet(str(tmp_path / "t"))
+    found = entities.counted_nodes(graph.mentions(spark.read.parquet(str(tmp_path / "t")), "id", "text"))
+    assert {(r.name, r.entity_type, r.chunks) for r in found.collect()} == {("v1.2", "version", 2), ("MyClass", "identifier", 1)}
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
